@@ -18,6 +18,8 @@ from logspar.llm.common import running_sum, stage
 WEIGHTS = (5, 2, 1)
 #: A source, and a document, is taken at most so many times its size.
 MAX_REPEATS = 3
+#: Ids with their repeats are broadcast up to this many rows.
+BROADCAST_KEYS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,15 +87,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The mixed corpus: every row of ``docs`` as many times as the mix takes it.
 
-    Rows sharing an id must be the same document; their passes are shared out
-    among them evenly enough that none is repeated over the limit.
+    Rows that share an id are repeated as often as the one of them taken most.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, seed).filter("taken > 0")
-    times = plan.groupBy("doc_id").agg((F.max(F.col("taken") / F.col("size"))).cast("int").alias("_ls_times"))
+    times = stage(plan.groupBy(F.col("doc_id").alias("_ls_id")).agg((F.max(F.col("taken") / F.col("size"))).cast("int").alias("_ls_times")), "mix-times")
+    if times.count() <= BROADCAST_KEYS:
+        times = F.broadcast(times)
     return (
-        docs.join(times.withColumnRenamed("doc_id", "_ls_id"), F.col(id_col).eqNullSafe(F.col("_ls_id")))
+        docs.join(times, F.col(id_col).eqNullSafe(F.col("_ls_id")))
         .withColumn("_ls_pass", F.explode(F.sequence(F.lit(1), F.col("_ls_times"))))
-        .select(*[docs[c] for c in docs.columns])
+        .drop("_ls_id", "_ls_times", "_ls_pass")
     )
 
 
