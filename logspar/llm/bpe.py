@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspar.llm.common import Memo
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pre-tokens remembered by a worker before its memory of them starts anew.
-MEMO = 400_000
+MEMO = 600_000
 #: Rows of an Arrow batch that are in Python objects at once.
 SLICE = 256
 _SEED = 7
@@ -38,14 +40,14 @@ _SEED = 7
 class PerfectHash:
     """Minimal perfect hash by hash and displace over byte strings.
 
-    ``n`` keys fill slots 0..n-1. Keys fall into ``n // 4`` buckets; from the
+    ``n`` keys fill slots 0..n-1. Keys fall into ``n // 2`` buckets; from the
     fullest down, each bucket gets the first displacement that sends its keys to
     free slots. Buckets of one key are given the slots left over (as -slot - 1).
     """
 
     def __init__(self, keys: list[bytes]):
         n = self.n = len(keys)
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 2)
         groups: dict[int, list[tuple[int, int]]] = {}
         for i, k in enumerate(keys):
             h = xxhash.xxh64_intdigest(k, _SEED)
@@ -97,48 +99,56 @@ class Codec:
         # Every way in which two entries make up a third, by the two ids.
         self.pair = {(ranks[t[:k]] << 32) | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.findall = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.piece)
+        self.digits = Memo(str)
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one pre-token by merging: a heap over linked symbols."""
         pair = self.pair.get
-        ids = [self.byte_id[b] for b in raw]
+        ids = list(map(self.byte_id.__getitem__, raw))
         n = len(ids)
+        # What the symbol at each place and the one after it would make: an id, which is also the rank, or -1.
+        makes = [pair((a << 32) | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+        # With the place below the rank, one integer orders the heap.
+        heap = [(m << 32) | i for i, m in enumerate(makes) if m >= 0]
+        if not heap:
+            return ids
+        makes.append(-1)
+        heapify(heap)
         right = list(range(1, n + 1))
         left = list(range(-1, n - 1))
-        # A rank is the id that the merge makes; with the place below it, one integer orders the heap.
-        heap = [(m << 32) | i for i in range(n - 1) if (m := pair((ids[i] << 32) | ids[i + 1])) is not None]
-        heapify(heap)
         while heap:
             top = heappop(heap)
             m, i = top >> 32, top & 0xFFFFFFFF
-            j = right[i]
-            if ids[i] < 0 or j >= n or pair((ids[i] << 32) | ids[j]) != m:
+            if makes[i] != m:
                 continue  # one of the two has been merged since
-            ids[i], ids[j] = m, -1
+            j = right[i]
+            ids[i], ids[j], makes[j] = m, -1, -1
             k = right[i] = right[j]
+            makes[i] = -1
             if k < n:
                 left[k] = i
-                if (x := pair((m << 32) | ids[k])) is not None:
+                x = makes[i] = pair((m << 32) | ids[k], -1)
+                if x >= 0:
                     heappush(heap, (x << 32) | i)
             k = left[i]
-            if k >= 0 and (x := pair((ids[k] << 32) | m)) is not None:
-                heappush(heap, (x << 32) | k)
+            if k >= 0:
+                x = makes[k] = pair((ids[k] << 32) | m, -1)
+                if x >= 0:
+                    heappush(heap, (x << 32) | k)
         return [i for i in ids if i >= 0]
 
-    def piece(self, token: str) -> tuple[int, ...]:
+    def piece(self, token: str) -> bytes:
+        """Packed ids of one pre-token."""
         raw = token.encode("utf-8", "surrogatepass")
         s = self.hash.slot(raw)
-        return (self.slot_id[s],) if self.slot_token[s] == raw else tuple(self.merge(raw))
+        return array("I", (self.slot_id[s],) if self.slot_token[s] == raw else self.merge(raw)).tobytes()
 
     def encode(self, text: str | None) -> list[int]:
         pieces = self.findall(text or "")
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for p in set(pieces).difference(memo):
-            memo[p] = self.piece(p)
-        return list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return array("I", b"".join(map(self.memo.__getitem__, pieces))).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -169,7 +179,7 @@ def _encoder(path: str, digests: bool, with_ids: bool):
                     if with_ids:
                         columns["ids"].append(np.array(ids, np.int32))
                     if digests:
-                        columns["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                        columns["ids_sha256"].append(hashlib.sha256(" ".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
                         columns["decoded_sha256"].append(hashlib.sha256(own.decode(ids)).hexdigest())
                 columns["doc_id"] = part.column(0)
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) if isinstance(v, list) else v for k, v in columns.items()], names=names)

@@ -19,6 +19,18 @@ from pyspark.sql import functions as F
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
+class Memo(dict):
+    """Values of a function, found by item access and made where they are missing."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
