@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspar.llm.common import small_batches
+
 #: n-gram features are hashed to 2 ** BITS columns.
 BITS = 14
 ORDERS = (2, 3)
@@ -135,7 +137,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
 
     schema = "lang string, counts binary, docs bigint"
     rows = docs.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    parts = rows.mapInArrow(count, schema).repartition(16).mapInArrow(add, schema).collect()
+    with small_batches(docs.sparkSession):
+        parts = rows.mapInArrow(count, schema).repartition(16).mapInArrow(add, schema).collect()
     sums: dict[str, np.ndarray] = {}
     total: dict[str, int] = {}
     for r in parts:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspar.llm.common import connected_components, stage
+from logspar.llm.common import connected_components, small_batches, stage
 
 SHINGLE = 3
 SEED = 42
@@ -104,7 +104,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fingerprint knows its smallest document. The last join deals rows by
     fingerprint; Spark's adaptive skew join splits a fingerprint that many share.
     """
-    rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
     least = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
     found = stage(connected_components(stage(links(least.select("fp")), "links")), "fp-components")
     joined = least.join(found, least["fp"] == found["node"])

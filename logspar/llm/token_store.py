@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,15 +34,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspar.llm.common import running_sum, scratch_path, shuffle_partitions, stage
+from logspar.llm.common import Memo, running_sum, scratch_path, shuffle_partitions, small_batches, stage
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Rolling hash: ids it spans, mean chunk in ids (a power of two), least and most.
 WINDOW, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Words a worker remembers, and chunk hashes it knows it has written, before either starts anew.
-MEMO = 600_000
+MEMO = 400_000
 SEEN = 200_000
+#: Rows that are in Python objects at once.
+SLICE = 256
 
 
 @lru_cache(maxsize=1)
@@ -74,43 +77,38 @@ class WordEncoder:
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.control = regex.compile(r"[\x1c-\x1f]").search
         self.table = _byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.wide = self.whole.get_vocab_size() > 1 << 16
+        self.code = "I" if self.wide else "H"
+        self.end = self.pack([END_ID])
+        self.words = Memo(self.word)
+        self.mark = lru_cache(maxsize=None)(self.piece)
 
-    def piece(self, p: str) -> tuple[int, ...]:
-        found = self.pieces.get(p)
-        if found is None:
-            shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.table)
-            found = self.pieces[p] = tuple(t.id for t in self.model.tokenize(shown))
-        return found
+    def piece(self, p: str) -> bytes:
+        shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.table)
+        return self.pack([t.id for t in self.model.tokenize(shown)])
 
-    def word(self, w: str) -> tuple[int, ...]:
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def word(self, w: str) -> bytes:
         if not w.isascii() and (max(w) > "ɏ" or not unicodedata.is_normalized("NFC", w)):
-            return tuple(self.whole.encode(w, add_special_tokens=False).ids)
-        w = w.lower() if w.isascii() else "".join(c.lower() for c in w)
-        if w.isalpha():
-            return self.piece(w)
-        if w[-1] in ".,;:!?" and w[:-1].isalpha():
-            return self.piece(w[:-1]) + self.piece(w[-1])
-        return tuple(i for p in self.cut(w) for i in self.piece(p))
-
-    def encode(self, text: str) -> np.ndarray:
+            return self.pack(self.whole.encode(w, add_special_tokens=False).ids)
+        low = w.lower()
+        if low.isalpha():
+            return self.piece(low) if low == w else self.words[low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return self.words[low[:-1]] + self.mark(low[-1])
+        return b"".join([self.words[p] if p.isalpha() else self.mark(p) if len(p) == 1 else self.piece(p) for p in self.cut(low)])
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text and the end id, packed in 16 bits, or 32 for a large vocabulary."""
         if self.control(text):  # str.split() takes these four for white space, the tokenizer doesn't
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids + [END_ID], np.uint32)
+            return self.pack([*self.whole.encode(text, add_special_tokens=False).ids, END_ID])
         words = text.split()
         memo = self.words
         if len(memo) > MEMO:
             memo.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.word(w)
-        out: list[int] = []
-        extend = out.extend
-        for ids in map(memo.__getitem__, words):
-            extend(ids)
-        out.append(END_ID)
-        return np.array(out, np.uint32)
+        return b"".join(map(memo.__getitem__, words)) + self.end
 
 
 @lru_cache(maxsize=2)
@@ -118,24 +116,31 @@ def encoder(path: str = VOCABULARY) -> WordEncoder:
     return WordEncoder(path)
 
 
-def borders(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash would end a chunk.
+
+    Documents may follow each other in ``ids``: the hash reaches back WINDOW ids,
+    and no chunk ends that close to a document's start.
+    """
     n = len(ids)
-    if n <= LEAST:
-        return [n]
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, n)):
         h[k:] += x[: n - k] * np.uint64(0x100000001B3 ** (k + 1) % (1 << 64))
     h ^= h >> np.uint64(32)
+    return np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + 1
+
+
+def borders(n: int, marked: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids, from its marked places."""
     cuts, last = [], 0
-    for c in np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + 1:
+    for c in marked:
         while c - last > MOST:
             last += MOST
             cuts.append(last)
         if c - last >= LEAST:
-            last = int(c)
+            last = c
             cuts.append(last)
     while n - last > MOST:
         last += MOST
@@ -154,21 +159,25 @@ def merkle(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
-def _cutter(path: str, wide: bool):
-    kind = np.dtype("<u4" if wide else "<u2")
+def _cutter(path: str):
     names = ["doc_id", "n_tokens", "root", "chunks", "sizes", "fresh"]
     fresh_type = pa.list_(pa.struct([("hash", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoder(path), set()
+        kind = np.dtype("<u4" if own.wide else "<u2")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 rows: list[list] = [[] for _ in names[1:]]
-                for text in part.column(1).to_pylist():
-                    ids = own.encode(text or "")
-                    data, start, hashes, sizes, fresh = ids.astype(kind).tobytes(), 0, [], [], []
-                    for end in borders(ids):
+                encoded = [own.encode(text or "") for text in part.column(1).to_pylist()]
+                marked, base = marks(np.frombuffer(b"".join(encoded), kind)), 0
+                for data in encoded:
+                    n = len(data) // kind.itemsize
+                    here = marked[np.searchsorted(marked, base, "right") : np.searchsorted(marked, base + n, "right")] - base
+                    base += n
+                    start, hashes, sizes, fresh = 0, [], [], []
+                    for end in borders(n, here.tolist()):
                         chunk = data[start * kind.itemsize : end * kind.itemsize]
                         h = hashlib.sha256(chunk).digest()
                         hashes.append(h)
@@ -179,7 +188,7 @@ def _cutter(path: str, wide: bool):
                         start = end
                     if len(seen) > SEEN:
                         seen.clear()
-                    for column, value in zip(rows, (len(ids), merkle(hashes), hashes, sizes, fresh), strict=True):
+                    for column, value in zip(rows, (n, merkle(hashes), hashes, sizes, fresh), strict=True):
                         column.append(value)
                 kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), fresh_type]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=names)
@@ -195,9 +204,9 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     third of all documents share moves at most once for each task. Recipes,
     without ids, are range-sorted; their starts are two-level prefix sums.
     """
-    wide = encoder(vocabulary).whole.get_vocab_size() > 1 << 16
     schema = "doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, sizes array<int>, fresh array<struct<hash:binary,n:int,ids:binary>>"
-    cut = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(vocabulary, wide), schema), "cut")
+    with small_batches(docs.sparkSession):
+        cut = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(vocabulary), schema), "cut")
     cut.select(F.explode("fresh").alias("c")).select("c.*").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     keyed = cut.select("doc_id", "n_tokens", "root", "chunks", "sizes", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_ls_order"), F.col("doc_id").isNotNull().alias("_ls_has"))
     placed = running_sum(keyed, [], ["_ls_has", "_ls_order", "root"], "n_tokens", "start")
@@ -255,19 +264,23 @@ def crc_join(a: int, b: int, n_b: int) -> int:
     return _apply(_zeros(n_b), a) ^ b if n_b else a
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """``hash, n, ids`` with ids as little-endian unsigned 32-bit bytes, verified."""
+def _checked(h: bytes, n: int, ids: bytes) -> bytes:
+    """A chunk's ids as little-endian unsigned 32-bit bytes, if its address is right."""
+    if hashlib.sha256(ids).digest() != h:
+        raise ValueError(f"chunk {h.hex()} does not hold what its address says")
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
+
+
+def read_chunks(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """``hash, n`` and verified ``ids`` in 32 bits each, or their CRC-32 as ``crc``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = []
-            for h, n, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if hashlib.sha256(ids).digest() != h:
-                    raise ValueError(f"chunk {h.hex()} does not hold what its address says")
-                wide.append(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide, pa.binary())], names=["hash", "n", "ids"])
+            wide = (_checked(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            made = pa.array([zlib.crc32(x) for x in wide], pa.int64()) if digest else pa.array(list(wide), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["hash", "n", "crc" if digest else "ids"])
 
-    return spark.read.parquet(f"{path}/chunks").select("hash", "n", "ids").mapInArrow(run, "hash binary, n int, ids binary")
+    return spark.read.parquet(f"{path}/chunks").select("hash", "n", "ids").mapInArrow(run, "hash binary, n int, " + ("crc bigint" if digest else "ids binary"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -291,12 +304,7 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
     ids are shuffled. A missing chunk, a recipe whose root or length differs
     from its chunks', raises an error.
     """
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x) for x in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), crc], names=["hash", "n", "crc"])
-
-    crcs = read_chunks(spark, path).mapInArrow(reduce, "hash binary, n int, crc bigint")
+    crcs = read_chunks(spark, path, digest=True)
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "chunks")
     used = recipes.select("start", F.posexplode("chunks").alias("i", "hash"))
     met = used.join(crcs, "hash").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("i", "hash", "n", "crc"))).alias("p"))
