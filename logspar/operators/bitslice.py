@@ -6,8 +6,6 @@ block format and for what is asked of planes themselves.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +17,27 @@ def planes(rows: DataFrame, value: str, bits: int = 64, name: str = "planes") ->
     return rows.groupBy("block").agg(F.array(*plane).alias(name), F.bit_or(lane_bit).alias("valid"))
 
 
+def _compare(plane: Column, value: int, bits: int, valid: Column) -> Column:
+    """struct(above, same): lanes above ``value`` and lanes equal to it, folded
+    over the planes from the highest bit down."""
+    targets = F.array(*[F.lit(-(value >> b & 1)).cast("bigint") for b in range(bits)])
+    zipped = F.reverse(F.arrays_zip(plane.alias("p"), targets.alias("t")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("above"), valid.alias("same"))
+    step = lambda acc, x: F.struct(
+        acc["above"].bitwiseOR(acc["same"].bitwiseAND(x["p"]).bitwiseAND(F.bitwise_not(x["t"]))).alias("above"),
+        acc["same"].bitwiseAND(F.bitwise_not(x["p"].bitwiseXOR(x["t"]))).alias("same"),
+    )
+    return F.aggregate(zipped, zero, step)
+
+
 def equal_mask(plane: Column, value: int, bits: int, valid: Column) -> Column:
     """Lanes whose value is ``value``; none if it needs more planes than there are."""
-    if value >> bits:
-        return F.lit(0).cast("bigint")
-    wanted = [plane[b] if value >> b & 1 else F.bitwise_not(plane[b]) for b in range(bits)]
-    return reduce(Column.bitwiseAND, wanted, valid)
+    return F.lit(0).cast("bigint") if value >> bits else _compare(plane, value, bits, valid)["same"]
 
 
 def greater_mask(plane: Column, value: int, bits: int, valid: Column) -> Column:
-    """Lanes whose value is above ``value``: equal in all higher planes, and set where ``value`` isn't."""
-    if value >> bits:
-        return F.lit(0).cast("bigint")
-    above: list[Column] = []
-    same = valid
-    for b in reversed(range(bits)):
-        if value >> b & 1:
-            same = same.bitwiseAND(plane[b])
-        else:
-            above.append(same.bitwiseAND(plane[b]))
-            same = same.bitwiseAND(F.bitwise_not(plane[b]))
-    return reduce(Column.bitwiseOR, above, F.lit(0).cast("bigint"))
+    """Lanes whose value is above ``value``."""
+    return F.lit(0).cast("bigint") if value >> bits else _compare(plane, value, bits, valid)["above"]
 
 
 def match_count(blocks: DataFrame, mask: Column) -> DataFrame:
