@@ -39,7 +39,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Runs of characters other than letters act as blanks. Each text is followed by
     blanks enough that no n-gram reaches into the next one; n-grams that start
-    with two blanks get column 2 ** BITS, which weighs nothing.
+    with two blanks, or with a text's last one, get column 2 ** BITS, which weighs nothing.
     """
     pad = " " * max(ORDERS)
     lower = [t.lower() for t in texts]
@@ -50,6 +50,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = int(n.sum())
     tail = np.concatenate([codes, np.full(max(ORDERS), 32, np.uint32)])
     blank = (tail[:total] == 32) & (tail[1 : total + 1] == 32)
+    blank[np.cumsum(n) - 1] = True  # the last blank of a text is next to the following text
     columns = []
     for order in ORDERS:
         h = np.full(total, order * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)

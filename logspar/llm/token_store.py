@@ -84,7 +84,7 @@ class WordEncoder:
         self.mark = lru_cache(maxsize=None)(self.piece)
 
     def piece(self, p: str) -> bytes:
-        shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.table)
+        shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.table)
         return self.pack([t.id for t in self.model.tokenize(shown)])
 
     def pack(self, ids: list[int]) -> bytes:
