@@ -6,9 +6,16 @@ next to each other in several locality-sensitive orders; rounds of joins of
 neighbours with neighbours' neighbours then improve them. A list whose every
 entry is above the threshold is saturated: it is enlarged and the rounds go on.
 Nodes whose lists are still saturated at the largest size get their links
-counted exactly, in blocks, over what their component holds. Recall is audited
-against a scan of all nodes for a bounded sample, and more orders are added
-while it is too low. Edges at the threshold or above are kept; every one was
+counted exactly, in blocks, over what their component holds.
+
+A part is the nodes of one label and length. One of at most SMALL nodes isn't
+searched: all its pairs are compared. The orders of a larger one are made about
+its own centre, with bits that follow its size. It is audited twice: by nodes, a
+scan of all for a sample of them, those with a single link apart; and by probes,
+vectors planted at the threshold from sampled nodes, which stand for lone pairs,
+whom the rounds cannot find. More orders are added while it falls short, and a
+part that still does when more would cost what a scan costs has all its pairs
+compared. Edges at the threshold or above are kept; every one was
 computed in double precision.
 
 Cases: a vector that is null, empty, zero or holds a null or non-finite component,
@@ -34,13 +41,13 @@ THRESHOLD = 0.98
 LIST, LARGEST = 16, 64
 #: Pairs below this cosine aren't kept in lists.
 FLOOR = 0.9
-#: Orders to begin with, added at a time, and at most; hyperplane bits of an order; rows compared ahead of each.
-ORDERS, MORE, MOST_ORDERS, BITS, AHEAD = 6, 4, 14, 12, 96
+#: Orders to begin with, and at most while a scan would copy a row fewer times; most hyperplane bits of an order; rows compared ahead of each.
+ORDERS, MOST_ORDERS, BITS, AHEAD = 6, 14, 24, 96
 ROUNDS = 4
-#: Nodes audited, and the recall asked for.
+#: Nodes of a part audited, as many probes, and the recall asked for of each.
 AUDIT, RECALL = 200, 0.97
-#: Nodes in a block of the exact count.
-BLOCK = 512
+#: Nodes in a block of the exact count, and in one of the scan of a part.
+BLOCK, SMALL = 512, 4096
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -95,25 +102,53 @@ def _edges(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
 EDGE = "a bigint, b bigint, sim double"
 
 
-def first_edges(table: DataFrame, orders: range) -> DataFrame:
+def sample_parts(table: DataFrame, large: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Node ids and unit vectors of AUDIT nodes of each part of ``large``."""
+    w = W.partitionBy("part").orderBy(F.xxhash64("node"), "node")
+    rows = table.join(large.select("part"), "part", "left_semi").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= AUDIT)
+    by: dict[str, tuple[list[int], list[list[float]]]] = {}
+    for r in rows.select("part", "node", "vec").collect():
+        ids, vecs = by.setdefault(r.part, ([], []))
+        ids.append(r.node)
+        vecs.append(r.vec)
+    return {p: (np.array(i), _unit(np.array(v, float))) for p, (i, v) in by.items()}
+
+
+def probes(sample: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, str, list[float]]]:
+    """``node, part, vec`` of a vector at the threshold from each sampled node n; its id is -1 - n."""
+    made = []
+    for seed, (part, (ids, unit)) in enumerate(sorted(sample.items())):
+        if unit.shape[1] == 1:
+            continue
+        away = np.random.default_rng(seed).standard_normal(unit.shape)
+        away = _unit(away - (away * unit).sum(axis=1, keepdims=True) * unit)
+        at = THRESHOLD * unit + np.sqrt(1 - THRESHOLD**2) * away
+        made += [(-1 - n, part, v) for n, v in zip(ids.tolist(), at.tolist(), strict=True)]
+    return made
+
+
+def first_edges(table: DataFrame, orders: dict[str, range], shape: dict[str, tuple[int, np.ndarray]]) -> DataFrame:
     """Edges of at least FLOOR between rows near each other in some order.
 
-    An order sorts nodes by the signs of BITS random projections and then by one
-    more projection. Each task walks its sorted rows in blocks and compares each
-    row with the AHEAD rows after it; the work is linear in the nodes.
+    An order sorts nodes by the signs of random projections, as many as ``shape``
+    says for a part and taken from the centre it gives, and then by one more
+    projection. Each task walks its sorted rows in blocks and compares each row
+    with the AHEAD rows after it; the work is linear in the nodes.
     """
+    told = table.sparkSession.sparkContext.broadcast({p: (t, *shape[p]) for p, t in orders.items()})
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: dict[int, list[np.ndarray]] = {}
-            dims = np.array([len(v) for v in batch.column(2)])
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                unit = _unit(_matrix(batch.column(2).take(pa.array(rows))))
-                for t in orders:
-                    planes = np.random.default_rng(1000 + t).standard_normal((int(dim), BITS + 1))
-                    at = unit @ planes
-                    code = ((at[:, :BITS] > 0) * (1 << np.arange(BITS))).sum(axis=1)
+            parts = np.array(batch.column(1).to_pylist(), dtype=object)
+            for part in set(parts.tolist()) & told.value.keys():
+                wanted, bits, centre = told.value[part]
+                rows = np.flatnonzero(parts == part)
+                off = _unit(_matrix(batch.column(2).take(pa.array(rows)))) - centre
+                for t in wanted:
+                    planes = np.random.default_rng(1000 + t).standard_normal((len(centre), BITS + 1))
+                    at = off @ planes
+                    code = ((at[:, :bits] > 0) * (1 << np.arange(bits))).sum(axis=1)
                     made.setdefault(t, []).append(np.stack([rows, code, at[:, BITS]], axis=1))
             for t, some in made.items():
                 x = np.concatenate(some)
@@ -165,9 +200,10 @@ def descend(edges: DataFrame, table: DataFrame, size: int) -> DataFrame:
     neighbour are compared with each other. Edges of at least FLOOR come out,
     old ones included; a node gathers 2 * size vectors at most."""
     near = lists(edges, F.lit(size))
-    around = near.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionAll(near.select(F.col("b").alias("hub"), F.col("a").alias("node"))).distinct()
-    # A hub that very many list is heard by 2 * size of them, its own list first among equals by hash.
-    w = W.partitionBy("hub").orderBy(F.xxhash64("hub", "node"))
+    heard = near.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(0).alias("far")).unionAll(near.select(F.col("b").alias("hub"), F.col("a").alias("node"), F.lit(1).alias("far")))
+    around = heard.groupBy("hub", "node").agg(F.min("far").alias("far"))
+    # A hub that very many list is heard by 2 * size: its own list, then others by hash.
+    w = W.partitionBy("hub").orderBy("far", F.xxhash64("hub", "node"))
     around = around.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * size).select("hub", "node")
     gathered = around.join(table.select("node", "vec"), "node").select("hub", "node", "vec")
     parts = shuffle_partitions(table.sparkSession)
@@ -195,40 +231,59 @@ def descend(edges: DataFrame, table: DataFrame, size: int) -> DataFrame:
     return edges.select("a", "b", "sim").unionAll(made).groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def audit(table: DataFrame, edges: DataFrame) -> float:
-    """Share of the links of AUDIT nodes, found by a scan of all, that edges have."""
-    spark = table.sparkSession
-    sample = table.orderBy(F.xxhash64("node")).limit(AUDIT).collect()
-    if not sample:
-        return 1.0
-    by: dict[str, tuple[list[int], list[list[float]]]] = {}
-    for r in sample:
-        ids, vecs = by.setdefault(r.part, ([], []))
-        ids.append(r.node)
-        vecs.append(r.vec)
-    asked = spark.sparkContext.broadcast({p: (np.array(i), _unit(np.array(v, float))) for p, (i, v) in by.items()})
+def true_links(table: DataFrame, sample: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``part, a, b``: all links of the sampled nodes a, by a scan of all nodes."""
+    asked = table.sparkSession.sparkContext.broadcast(sample)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = np.array(batch.column(1).to_pylist(), dtype=object)
-            for p, (ids, unit) in asked.value.items():
-                rows = np.flatnonzero(parts == p)
-                if len(rows):
-                    took = batch.take(pa.array(rows))
-                    sim = unit @ _unit(_matrix(took.column(2))).T
-                    node = took.column(0).to_numpy(zero_copy_only=False)
-                    i, j = np.nonzero((sim >= THRESHOLD) & (ids[:, None] != node[None, :]))
-                    yield _edges(np.minimum(ids[i], node[j]), np.maximum(ids[i], node[j]), sim[i, j])
-
-    truth = table.select("node", "part", "vec").mapInArrow(scan, EDGE).select("a", "b").distinct()
-    row = truth.join(edges.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return row.hits / row.n if row.n else 1.0
-
-
-def search(table: DataFrame) -> DataFrame:
-    """All edges found, of at least FLOOR, by the rounds described above."""
-    edges = stage(first_edges(table, range(ORDERS)), "edges")
-    size, orders = LIST, ORDERS
+            for p in set(parts.tolist()) & asked.value.keys():
+                ids, unit = asked.value[p]
+                took = batch.take(pa.array(np.flatnonzero(parts == p)))
+                node = took.column(0).to_numpy(zero_copy_only=False)
+                i, j = np.nonzero((unit @ _unit(_matrix(took.column(2))).T >= THRESHOLD) & (ids[:, None] != node[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(i), pa.string()), pa.array(ids[i], pa.int64()), pa.array(node[j], pa.int64())], names=["part", "a", "b"])
+
+    return table.select("node", "part", "vec").mapInArrow(scan, "part string, a bigint, b bigint")
+
+
+def audit(truth: DataFrame, found: DataFrame, counted_from: int | None = None) -> dict[str, float]:
+    """By part the mean share of a sampled node's links that ``found`` (a, b) has,
+    or the mean over nodes with one link where that is lower. A node with
+    ``counted_from`` links found passes: its links are going to be counted."""
+    by_node = truth.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("part", "a").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    share = F.col("hits") / F.col("n")
+    if counted_from:
+        share = F.when(F.col("hits") >= counted_from, 1.0).otherwise(share)
+    rows = by_node.groupBy("part").agg(F.avg(share).alias("of_all"), F.avg(F.when(F.col("n") == 1, share)).alias("of_lone")).collect()
+    return {r.part: min(r.of_all, 1.0 if r.of_lone is None else r.of_lone) for r in rows}
+
+
+def search(table: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame, set[str]]:
+    """All edges found in the parts of ``large`` (part, n), of at least FLOOR, by
+    the rounds described above; the links of sampled nodes; and parts that fell short."""
+    spark = table.sparkSession
+    sizes = {r.part: r.n for r in large.collect()}
+    if not sizes:
+        return spark.createDataFrame([], EDGE), spark.createDataFrame([], "part string, a bigint, b bigint"), set()
+    sample = sample_parts(table, large)
+    shape = {p: (min(BITS, max(0, round(np.log2(n / (4 * AHEAD))))), sample[p][1].mean(axis=0)) for p, n in sizes.items()}
+    truth = stage(true_links(table, sample), "true-links")
+    vec = table.schema["vec"].dataType.simpleString()
+    vec = vec if vec in ("array<float>", "array<double>") else "array<double>"
+    planted = spark.createDataFrame(probes(sample), "node bigint, part string, vec array<double>")
+    sown = table.select("node", "part", F.col("vec").cast(vec).alias("vec")).unionAll(planted.select("node", "part", F.col("vec").cast(vec)))
+    caught: set[int] = set()
+
+    def ordered(wanted: dict[str, range]) -> DataFrame:
+        made = stage(first_edges(sown, wanted, shape), "edges")
+        caught.update(r.b for r in made.filter("a < 0 AND b = -1 - a").select("b").collect())
+        return made.filter("a >= 0 AND b >= 0")
+
+    made = {p: ORDERS for p in sizes}
+    edges = stage(ordered({p: range(n) for p, n in made.items()}), "edges")
+    size = LIST
     while True:
         known = -1
         for _ in range(ROUNDS):
@@ -239,20 +294,20 @@ def search(table: DataFrame) -> DataFrame:
             if n - known <= 0.001 * n:
                 break
             known = n
-        full = not edges_saturated(edges, size).isEmpty()
-        if audit(table, edges) >= RECALL and not (full and size < LARGEST):
-            break
-        if full and size < LARGEST:
+        if size < LARGEST and not edges_saturated(edges, size).isEmpty():
             size *= 2
-        elif orders < MOST_ORDERS:
-            more = first_edges(table, range(orders, orders + MORE))
-            orders += MORE
-            nxt = stage(edges.unionByName(more).groupBy("a", "b").agg(F.max("sim").alias("sim")), "edges")
-            unstage(edges)
-            edges = nxt
-        else:
-            break
-    return edges
+            continue
+        recall = audit(truth, both_ways(edges), LARGEST)
+        short = {p for p, (ids, unit) in sample.items() if recall.get(p, 1.0) < RECALL or unit.shape[1] > 1 and len(caught.intersection(ids.tolist())) < RECALL * len(ids)}
+        # A scan copies a row once for each block of its part, an order once.
+        more = {p: range(made[p], min(2 * made[p], max(MOST_ORDERS, sizes[p] // SMALL))) for p in short}
+        more = {p: t for p, t in more.items() if len(t)}
+        if not more:
+            return edges, truth, short
+        made |= {p: t.stop for p, t in more.items()}
+        nxt = stage(edges.unionByName(ordered(more)).groupBy("a", "b").agg(F.max("sim").alias("sim")), "edges")
+        unstage(edges)
+        edges = nxt
 
 
 def edges_saturated(edges: DataFrame, size: int) -> DataFrame:
@@ -260,44 +315,70 @@ def edges_saturated(edges: DataFrame, size: int) -> DataFrame:
     return both_ways(edges.filter(F.col("sim") >= THRESHOLD)).groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= size).select(F.col("a").alias("node"))
 
 
-def count_in_blocks(table: DataFrame, members: DataFrame) -> DataFrame:
-    """``node, n_links`` exactly, between nodes of one component.
+def _reach(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and the columns of a matrix of links, the row that stands for
+    what each reaches; -1 for one without a link."""
+    across, down = near, np.ascontiguousarray(near.T)
+    rows, cols = (np.full(n, -1) for n in near.shape)
+    for first in np.flatnonzero(near.any(axis=1)):
+        if rows[first] < 0:
+            rows[first] = first
+            front = np.array([first])
+            while len(front):
+                met = np.flatnonzero(across[front].any(axis=0) & (cols < 0))
+                cols[met] = first
+                front = np.flatnonzero(down[met].any(axis=0) & (rows < 0)) if len(met) else met
+                rows[front] = first
+    return rows, cols
+
+
+def count_in_blocks(table: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """``node, n, to``: links counted exactly between nodes of one component, to
+    be summed by node, and a node linked with it over links of the same row's group.
 
     ``members`` is (node, component). Components are cut into blocks of about
-    BLOCK nodes by hash; every pair of blocks of one component is one group of
-    2 * BLOCK rows or so, and gives one row a node: no pairs are made.
+    ``block`` nodes by hash; every pair of blocks of one component is one group of
+    2 * ``block`` rows or so, and gives one row a node: no pairs are made.
     """
     spark = table.sparkSession
-    sizes = members.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / block).cast("int").alias("k"))
     placed = stage(members.join(sizes, "component").join(table.select("node", "vec", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")), "blocks")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
     dealt = placed.select(F.explode(pairs).alias("p"), "component", "block", "node", "copies", "vec")
     keyed = dealt.select(F.concat_ws("|", "component", "p.lo", "p.hi").alias("pair"), (F.col("block") == F.col("p.lo")).alias("low"), (F.col("p.lo") == F.col("p.hi")).alias("same"), "node", "copies", "vec")
 
+    def links(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        near = np.empty((len(u), len(v)), bool)
+        for x in range(0, len(u), BLOCK):
+            near[x : x + BLOCK] = u[x : x + BLOCK] @ v.T >= THRESHOLD
+        return near
+
+    def counted(near: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([near[x : x + BLOCK] @ w for x in range(0, len(near), BLOCK)] or [np.zeros(0)])
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pair = np.array(batch.column(0).to_pylist(), dtype=object)
         low, same = (np.array(batch.column(k).to_pylist(), bool) for k in (1, 2))
         node, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
-        unit = _unit(_matrix(batch.column(5)))
         starts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(pair)]
-        ids, counts = [], []
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            u, w, who = unit[lo:hi], copies[lo:hi], node[lo:hi]
+            u, w, who = _unit(_matrix(batch.column(5).slice(lo, hi - lo))), copies[lo:hi].astype(float), node[lo:hi]
             if same[lo]:
-                near = u @ u.T >= THRESHOLD
+                near = links(u, u)
                 np.fill_diagonal(near, False)
-                ids.append(who)
-                counts.append(near @ w)
+                n = counted(near, w)
+                np.fill_diagonal(near, near.any(axis=1))
+                to, ids, heads = _reach(near)[0], who, who
             else:
                 x, y = low[lo:hi], ~low[lo:hi]
-                near = u[x] @ u[y].T >= THRESHOLD
-                ids += [who[x], who[y]]
-                counts += [near @ w[y], w[x] @ near]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(counts).astype(np.int64), pa.int64())], names=["node", "n"])
+                near = links(u[x], u[y])
+                n = np.concatenate([counted(near, w[y]), counted(near.T, w[x])])
+                to, ids, heads = np.concatenate(_reach(near)), np.concatenate([who[x], who[y]]), who[x]
+            ends = np.where(to < 0, ids, heads[to] if len(heads) else ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64), pa.int64()), pa.array(ends, pa.int64())], names=["node", "n", "to"])
 
     parts = shuffle_partitions(spark)
-    made = keyed.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(lambda batches: _runs(batches, 0, work), "node bigint, n bigint")
-    return made.groupBy("node").agg(F.sum("n").alias("n_links"))
+    return keyed.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(lambda batches: _runs(batches, 0, work), "node bigint, n bigint, to bigint")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -306,11 +387,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = stage(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.when(valid(array, F.col(label_col)), F.col(vector_col)).alias("vec")), "vectors")
     usable = rows.filter("vec IS NOT NULL")
     table = stage(nodes(usable), "nodes")
-    edges = stage(search(table).filter(F.col("sim") >= THRESHOLD), "threshold-edges")
-    components = stage(connected_components(edges), "vec-components")
+    large = stage(table.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL), "large-parts")
+    searched, truth, short = search(table, large)
+    edges = stage(searched.filter(F.col("sim") >= THRESHOLD), "threshold-edges")
+    reached = stage(connected_components(edges), "vec-components")
     saturated = edges_saturated(edges, LARGEST)
-    members = components.join(saturated.join(components, "node").select("component").distinct(), "component", "left_semi")
-    exact = stage(count_in_blocks(table, members.select("node", "component")), "exact-counts")
+    members = stage(reached.join(saturated.join(reached, "node").select("component").distinct(), "component", "left_semi").select("node", "component"), "members")
+    counted = count_in_blocks(table, members, BLOCK)
+    ends = (members.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    together = truth.join(next(ends), "a").join(next(ends), "b").filter("of_a = of_b").select("a", "b")
+    short |= {p for p, share in audit(truth, both_ways(edges).select("a", "b").unionAll(together).distinct()).items() if share < RECALL}
+    # What isn't searched, or was without success, has all its pairs compared.
+    trusted = large.filter(~F.col("part").isin(sorted(short))) if short else large
+    untrusted = table.join(trusted.select("part"), "part", "left_anti").select("node", F.col("part").alias("component"))
+    scanned = stage(count_in_blocks(table, untrusted, SMALL), "scanned")
+    components = stage(reached.join(scanned.select("node"), "node", "left_anti").unionAll(connected_components(scanned, "node", "to")), "all-components")
+    in_scan = scanned.groupBy("node").agg(F.sum("n").alias("n_links"))
+    exact = stage(in_scan.unionAll(counted.groupBy("node").agg(F.sum("n").alias("n_links")).join(in_scan, "node", "left_anti")), "exact-counts")
     listed = both_ways(edges).join(table.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("listed"))
     part = F.to_json(F.struct(F.col("label").cast("string").alias("label"), F.size("vec").alias("dim")))
     linked = (

@@ -168,6 +168,26 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_embedding_lone_pairs(spark, monkeypatch):
+    """Pairs about a common mean, without other neighbours, in a part that few orders cannot do."""
+    for name, value in (("SMALL", 500), ("ORDERS", 1), ("MOST_ORDERS", 1)):
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    rng = np.random.default_rng(2)
+    mean, off = rng.standard_normal(64), rng.standard_normal((1500, 64))
+    first = 2.5 * mean / np.linalg.norm(mean) + off / np.linalg.norm(off, axis=1, keepdims=True)
+    away = rng.standard_normal(first.shape)
+    second = first + 0.17 * np.linalg.norm(first, axis=1, keepdims=True) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.concatenate([first, second])
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 2900
+    assert sum(r.n_links for r in got) >= 0.97 * near.sum()
+    assert all(r.n_links <= near[r.vec_id].sum() for r in got)
+    assert sum(r.component_id == r.vec_id % 1500 for r in got) >= 0.97 * len(x)
+
+
 def test_pipeline(spark, sf_dir, reference_bpe):
     """Each stage against a plain version of it on its own input."""
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
