@@ -2,13 +2,14 @@ r"""URL filters as a temporal list join.
 
 A list is a table of dated entries ``list_name, kind, value, action, on_date``:
 ``action`` is ``add`` or ``remove``; ``kind`` is ``host`` (that host alone),
-``domain`` (the host or any below it) or ``prefix`` (host and path, up to a
-``/`` or the end). Entries of one (list, kind, value) become validity intervals
+``domain`` (the host or any below it) or ``prefix`` (host, with a path or alone,
+up to a ``/`` or the end). Entries of one (list, kind, value) become validity intervals
 [from, to), and each capture is judged by the intervals open when it was
 fetched. ``allow`` lists overrule all others.
 
 Cases: a null, empty or malformed URL, a null fetch date and an empty list match
-nothing; an entry with a null in any column is ignored; of several entries on
+nothing; an entry with a null in any column or nothing as its value is ignored;
+case, a trailing dot of the host and needless slashes of a value are ignored; of several entries on
 one date the last in order add < remove counts; repeated entries count once;
 repeated captures are judged one by one; case, port, user info, a trailing dot of
 the host, query and fragment of a URL are ignored. Long URLs are used whole.
@@ -42,17 +43,24 @@ ENTRIES = (
 )
 
 
+def _normal(value: Column) -> Column:
+    """An entry's value as the keys of URLs are written."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(value), "/+", "/"), "/$", "")
+    return F.regexp_replace(plain, r"^([^/]*)\.(?=/|$)", "$1")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``list_name, key, from_date, to_date`` (null: still open), not overlapping."""
     named = ["list_name", "kind", "value", "action", "on_date"]
     valid = entries.select(*named).dropna().filter(F.col("action").isin("add", "remove") & F.col("kind").isin("host", "domain", "prefix"))
+    valid = valid.withColumn("value", _normal(F.col("value"))).filter("value <> ''")
     by = ["list_name", "kind", "value"]
     # One row for each date, the last action counting; then the next date of the other action closes it.
     daily = valid.groupBy(*by, "on_date").agg(F.max("action").alias("action"))
     w = W.partitionBy(*by).orderBy("on_date")
     turns = daily.withColumn("was", F.lag("action").over(w)).filter(F.col("was").isNull() | (F.col("was") != F.col("action")))
     spans = turns.withColumn("to_date", F.lead("on_date").over(w)).filter("action = 'add'")
-    return spans.select("list_name", F.concat(F.col("kind"), F.lit(":"), F.lower("value")).alias("key"), F.col("on_date").alias("from_date"), "to_date")
+    return spans.select("list_name", F.concat(F.col("kind"), F.lit(":"), "value").alias("key"), F.col("on_date").alias("from_date"), "to_date")
 
 
 def _keys(url: Column) -> Column:
@@ -63,7 +71,7 @@ def _keys(url: Column) -> Column:
     steps = F.filter(F.split(F.lower(path), "/"), lambda s: s != "")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/"))))
-    every = F.concat(F.array(F.concat(F.lit("host:"), host)), domains, F.coalesce(prefixes, F.array().cast("array<string>")))
+    every = F.concat(F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("prefix:"), host)), domains, F.coalesce(prefixes, F.array().cast("array<string>")))
     return F.when(host != "", F.array_distinct(every))
 
 

@@ -58,6 +58,14 @@ def test_url_lists(spark):
     assert not [r for r in url_filter.url_verdicts(table, list_.limit(0)).collect() if r.blocked]
 
 
+def test_url_entry_values(spark):
+    entries = [("a", "prefix", "Example.org", "add", "2024-01-01"), ("b", "prefix", "example.org./en/", "add", "2024-01-01"), ("c", "domain", "Foo.com", "add", "2024-01-01"), ("c", "domain", "foo.com.", "remove", "2024-02-01"), ("d", "prefix", "/", "add", "2024-01-01")]
+    urls = ["http://example.org", "http://example.org/en/x", "http://www.example.org/", "http://foo.com/", "http://example.org/end"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("fetch_date", F.lit("2024-03-01").cast("date"))
+    got = {r.page_id: r.lists for r in url_filter.url_verdicts(table, url_filter.list_entries(spark, tuple(entries))).collect()}
+    assert got == {0: "a", 1: "a,b", 2: "", 3: "", 4: "a"}
+
+
 BASE = [("assign", re.compile(secrets.ASSIGN), 1, 8), ("access", re.compile(secrets.ACCESS), 0, 16), ("hex", re.compile(secrets.HEX), 0, 32)]
 
 
