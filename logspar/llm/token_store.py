@@ -31,6 +31,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,6 +232,46 @@ def store_root(spark: SparkSession, path: str) -> bytes:
     return merkle([r.root for r in spark.read.parquet(f"{path}/manifest").orderBy("first_start").collect()])
 
 
+def _manifest_check(spark: SparkSession, path: str, like: str) -> DataFrame:
+    """No rows, of schema ``like``; an error if recipes differ from the manifest.
+
+    Each manifest row is dealt with the recipes from its first start up to the
+    next one's, whose number and root are made anew.
+    """
+    try:
+        manifest = spark.read.parquet(f"{path}/manifest").orderBy("first_start").collect()
+    except AnalysisException:  # without the table nothing vouches for the recipes
+        manifest = []
+    firsts = np.array([r.first_start for r in manifest], np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.searchsorted(firsts, batch.column(0).to_numpy(zero_copy_only=False), "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), batch.column(0), batch.column(1)], names=["k", "start", "root"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, roots = None, []
+
+        def settle() -> None:
+            if at is not None and (at < 0 or len(roots) != manifest[at].n_docs or merkle(roots) != bytes(manifest[at].root)):
+                raise ValueError(f"the store can't be rebuilt: recipes of manifest row {at} differ from it")
+
+        for batch in batches:
+            for k, start, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != at:
+                    settle()
+                    at, roots = k, []
+                if start is not None:
+                    roots.append(root)
+        settle()
+        yield from ()
+
+    kind = "k bigint, start bigint, root binary"
+    every = spark.createDataFrame([(k, None, None) for k in range(len(manifest))], kind)
+    placed = spark.read.parquet(f"{path}/recipes").select("start", "root").mapInArrow(place, kind).unionAll(every)
+    return placed.repartition(shuffle_partitions(spark), "k").sortWithinPartitions("k", "start").mapInArrow(compare, like)
+
+
 _CRC_POLY = 0xEDB88320
 
 
@@ -287,13 +328,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` rebuilt from recipes and chunks.
 
     Pieces meet by (document, position); only one document's ids, never a
-    chunk's users, come together in one row.
+    chunk's users, come together in one row. Recipes that differ from the manifest raise an error.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
     pieces = recipes.select("start", F.posexplode("chunks").alias("i", "hash")).join(read_chunks(spark, path), "hash")
     joined = pieces.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("p"))
     ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"]))
-    return recipes.join(joined, "start").select("doc_id", "start", "n_tokens", ids.alias("ids"))
+    return recipes.join(joined, "start").select("doc_id", "start", "n_tokens", ids.alias("ids")).unionAll(_manifest_check(spark, path, "doc_id bigint, start bigint, n_tokens bigint, ids binary"))
 
 
 def verify_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -302,7 +343,7 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
     Every chunk is read, compared with its address and reduced to a CRC-32 where
     it lies; documents are put together from the CRCs of their chunks, so no
     ids are shuffled. A missing chunk, a recipe whose root or length differs
-    from its chunks', raises an error.
+    from its chunks', recipes that differ from the manifest, raise an error.
     """
     crcs = read_chunks(spark, path, digest=True)
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "chunks")
@@ -323,7 +364,8 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = recipes.select("doc_id", "start", "n_tokens", "root").join(met, "start", "left").select("doc_id", "start", "n_tokens", "root", "p")
-    return rows.mapInArrow(check, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    kind = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    return rows.mapInArrow(check, kind).unionAll(_manifest_check(spark, path, kind))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,20 @@ def test_token_store(spark, sf_dir, tmp_path):
     assert token_store.verify_documents(spark, f"{path}-none").count() == 0
 
 
+def test_manifest(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs(spark, [f"text {i}" for i in range(40)]), path)
+    assert token_store.verify_documents(spark, path).count() == token_store.read_documents(spark, path).count() == 40
+    recipes = spark.read.parquet(f"{path}/recipes")
+    for name, kept in (("row", recipes.filter("doc_id <> 7")), ("part", recipes.filter("doc_id > 15")), ("none", recipes.limit(0))):
+        kept.write.parquet(f"{path}-{name}/recipes")
+        for folder in ("chunks", "manifest"):
+            spark.read.parquet(f"{path}/{folder}").write.parquet(f"{path}-{name}/{folder}")
+        for read in (token_store.verify_documents, token_store.read_documents):
+            with pytest.raises(Exception, match="differ from it"):
+                read(spark, f"{path}-{name}").collect()
+
+
 def test_crc_join():
     a, b = b"abc" * 50, b"xyz" * 77
     assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
