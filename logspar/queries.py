@@ -15,6 +15,7 @@ from logspar.functions import log_text as T
 from logspar.operators import bitslice, promotion, rowgroups, search
 from logspar.plans.dialect import parse_compat, parse_strict
 from logspar.plans.predicates import And, Eq, Gt, overlaps, row_filter
+from logspar.sources import ndjson
 from logspar.streaming import staging
 
 STATUS, LATENCY, BITS, GROUP = 69, 20, 10, 1024
@@ -197,9 +198,13 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def wal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ends = F.when(F.col("row_id") % 3 == 0, F.concat(F.col("props"), F.lit("\r"))).when(F.col("row_id") % 3 == 1, F.lit("")).otherwise(F.col("props"))
-    lines = log(spark, sf_dir).select("row_id", ends.alias("value")).filter("value <> ''")
-    return lines.select("row_id", T.strip_carriage_return(F.col("value")).alias("value"))
+    """A write-ahead file of all events, where the SQL's third is blank lines, read back."""
+    numbered = F.concat_ws("\t", F.col("row_id").cast("string"), "props")
+    ends = F.when(F.col("row_id") % 3 == 0, F.concat(numbered, F.lit("\r"))).when(F.col("row_id") % 3 == 1, F.lit("")).otherwise(numbered)
+    path = f"{_scratch(spark)}/wal"
+    log(spark, sf_dir).select(ends.alias("value")).write.text(path)
+    parts = F.split("value", "\t", 2)
+    return ndjson.recover_log(spark, path).select(parts[0].cast("bigint").alias("row_id"), parts[1].alias("value"))
 
 
 def field_heat(spark: SparkSession, sf_dir: str) -> DataFrame:

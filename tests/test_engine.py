@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logspar import cli
+from logspar import cli, queries
 from logspar.functions import log_text as T
 from logspar.operators import bitslice, promotion, rowgroups, search
 from logspar.plans.predicates import And, Eq, Gt, may_match, row_filter
@@ -147,3 +147,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert "TOTAL MATCHING RECORDS : 1" in capsys.readouterr().out
     assert cli.main([], spark) == 1 and cli.main(["latency > 1", path + "none"], spark) == 1
     assert cli.main(["--convert", path, str(tmp_path / "o.agb")], spark) == 0
+
+
+def test_wal_recover_reads_a_file(spark):
+    made = queries.wal_recover(spark, "/root/testdata/sf0.001")
+    assert made.inputFiles() and all("/wal/" in f for f in made.inputFiles())
