@@ -13,11 +13,13 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: A table is broadcast up to this size, by its counted rows.
+BROADCAST_BYTES = 32 << 20
 
 
 class Memo(dict):
@@ -77,6 +79,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stage_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``stage`` with aggregates of ``df`` that the writing job takes along."""
+    seen = Observation()
+    out = stage(df.observe(seen, *[c.alias(name) for name, c in measures.items()]), label)
+    return out, seen.get
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     path = getattr(df, "_logspar_path", None)
@@ -86,6 +95,14 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name, have = f"_ls_{label}", {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,33 +132,50 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     )
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` to be broadcast if its counted rows of about ``row_bytes`` fit BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread_join(big: DataFrame, right: DataFrame, key: list[str], n: str, total: int, by: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined with ``right``, which has one row a key and, in column ``n``,
+    at least how many of the ``total`` rows of ``big`` have that key.
+
+    A key with more than a quarter of an even partition's rows is hot: its rows are
+    dealt to several tasks by a hash of the columns ``by``, and its row of ``right``
+    is copied to each. Hot keys are broadcast; no more than 4 for each partition
+    can exist, or one for 64 rows of a small table.
+    """
+    limit = max(64, total // (4 * shuffle_partitions(big.sparkSession)))
+    pieces = F.greatest(F.ceil(F.col(n) / limit), F.lit(1)).cast("long")
+    hot = right.filter(F.col(n) > limit).select(*key, pieces.alias("_ls_pieces"))
+    salted = big.join(F.broadcast(hot), key, "left").withColumn("_ls_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_ls_pieces")), F.lit(0).cast("long"))).drop("_ls_pieces")
+    copied = right.withColumn("_ls_salt", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    return salted.join(copied, [*key, "_ls_salt"], how).drop("_ls_salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected
     Components in MapReduce and Beyond"), until a round changes nothing. Every
-    round is two aggregations and two equi-joins over the edges, written to the
-    shared folder; nothing is collected but a count and a checksum. Nodes in no
-    edge, or only in an edge to themselves, are not returned.
+    round is two aggregations and two equi-joins over the edges, in which a node
+    with very many edges is spread over tasks, written to the shared folder;
+    nothing is collected but a count and a checksum. Nodes in no edge, or only in
+    an edge to themselves, are not returned.
     """
-    cur = stage(
-        edges.filter(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .distinct(),
-        "cc",
-    )
-    mark = None
-    while True:
-        now = cur.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
+    measures = {"n": F.count("*"), "mark": F.expr("bit_xor(xxhash64(a, b))")}
+    first = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    cur, seen = stage_measured(first, "cc", **measures)
+    before = None
+    while seen["n"] and seen != before:
+        before = seen
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        nxt = stage(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, ["u"], "n", 2 * seen["n"], ["v"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, ["a"], "n", seen["n"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        nxt, seen = stage_measured(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "cc", **measures)
         unstage(cur)
         cur = nxt
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -33,15 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspar.llm.common import connected_components, small_batches, stage
+from logspar.llm.common import broadcast_if_small, connected_components, free_name, small_batches, spread_join, stage, stage_measured
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 #: Distinct fingerprints in a bucket up to which its pairs are made.
 PAIR_BUCKET = 16
-#: Ids to drop are broadcast up to this many rows.
-BROADCAST_KEYS = 500_000
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
@@ -101,25 +99,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, fp, component_id`` of every row.
 
     Links are sought between distinct fingerprints, so copies cost nothing; each
-    fingerprint knows its smallest document. The last join deals rows by
-    fingerprint; Spark's adaptive skew join splits a fingerprint that many share.
+    fingerprint knows its smallest document. A fingerprint that very many rows
+    have, and a component of very many fingerprints, are spread over tasks.
     """
     with small_batches(docs.sparkSession):
-        rows = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    least = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
+        rows, seen = stage_measured(fingerprints(docs, id_col, text_col), "fingerprints", n=F.count("*"))
+    least, distinct = stage_measured(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct-fp", n=F.count("*"))
     found = stage(connected_components(stage(links(least.select("fp")), "links")), "fp-components")
-    joined = least.join(found, least["fp"] == found["node"])
-    own = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    chained = joined.select("fp", "component").join(own, "component").select("fp", "component_id")
-    whole = stage(least.join(chained, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
-    return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
+    joined = least.join(found, least["fp"] == found["node"]).select("fp", "least", "component")
+    own = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    chained = spread_join(joined.select("fp", "component"), own, ["component"], "fps", distinct["n"], ["fp"]).select("fp", "component_id")
+    whole = stage(least.join(chained, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "rows"), "components")
+    return spread_join(rows, whole, ["fp"], "rows", seen["n"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; a null id stays."""
-    lost = stage(near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_ls_id")).distinct(), "near-lost")
-    few = lost.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(lost) if few else lost, F.col(id_col) == F.col("_ls_id"), "left_anti")
+    """The rows of ``docs`` whose id is their component's smallest; a null id stays.
+
+    Rows that share that id all stay: they are told apart by nothing.
+    """
+    own = free_name(docs, "id")
+    lost = stage(near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct(), "near-lost")
+    return docs.join(broadcast_if_small(lost, 16), F.col(id_col) == F.col(own), "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
