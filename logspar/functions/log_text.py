@@ -49,17 +49,27 @@ def occurrences(text: Column, pattern: str) -> Column:
     """Non-overlapping occurrences from left to right; none of an empty pattern."""
     if not pattern:
         return F.lit(0).cast("bigint")
-    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit("")))) / len(pattern)).cast("bigint")
+    return whole_quotient(F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit(""))), len(pattern))
+
+
+def whole_quotient(a: Column, b: int) -> Column:
+    """Division of integers in integers, exact up to 2^63."""
+    return F.call_function("div", a, F.lit(b))
 
 
 def block(row_id: Column) -> Column:
-    return F.floor(row_id / BLOCK_ROWS).cast("bigint")
+    return whole_quotient(row_id, BLOCK_ROWS)
 
 
 def lane(row_id: Column) -> Column:
     return (row_id % BLOCK_ROWS).cast("int")
 
 
+def leading_blanks(value: Column) -> Column:
+    """Bytes of white space before a document in its line."""
+    return F.octet_length(value) - F.octet_length(F.regexp_replace(value, "^[ \\t\\r]+", ""))
+
+
 def strip_carriage_return(value: Column) -> Column:
     return F.regexp_replace(value, "\r$", "")
 
@@ -68,5 +78,9 @@ def gigabytes_per_second(n_bytes: int, seconds: float) -> float:
     return n_bytes / 2**30 / seconds
 
 
-def cycles_per_record(seconds: float, records: int, hertz: float = 4.05e9) -> float:
+# Fixed value: the clock rate that cycles are counted by.
+HERTZ = 4.05e9
+
+
+def cycles_per_record(seconds: float, records: int, hertz: float = HERTZ) -> float:
     return seconds * hertz / max(1, records)

@@ -17,6 +17,23 @@ def planes(rows: DataFrame, value: str, bits: int = 64, name: str = "planes") ->
     return rows.groupBy("block").agg(F.array(*plane).alias(name), F.bit_or(lane_bit).alias("valid"))
 
 
+def planes_of(rows: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
+    """``block, valid`` and, for each ``name: (value, bits)``, that value's planes: one aggregation for all."""
+    lane_bit, none = F.expr("shiftleft(1L, lane)"), F.lit(0).cast("bigint")
+    plane = lambda v, b: F.bit_or(F.when(F.getbit(F.coalesce(v, none), F.lit(b)) == 1, lane_bit).otherwise(none))
+    made = [F.array(*[plane(F.col(v), b) for b in range(bits)]).alias(name) for name, (v, bits) in fields.items()]
+    return rows.groupBy("block").agg(*made, F.bit_or(lane_bit).alias("valid"))
+
+
+def group_planes(blocks: DataFrame, name: str = "planes", group_blocks: int = 1024) -> DataFrame:
+    """``rg, bit, words``: each plane of a group of 65,536 rows as one row of 1024
+    words, blocks without rows as zeros."""
+    each = blocks.select(F.call_function("div", F.col("block"), F.lit(group_blocks)).alias("rg"), (F.col("block") % group_blocks).cast("int").alias("at"), F.posexplode(name).alias("bit", "word"))
+    held = each.groupBy("rg", "bit").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("at"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(group_blocks - 1)), lambda i: F.coalesce(F.element_at("at", i), F.lit(0).cast("bigint")))
+    return held.select("rg", "bit", words.alias("words"))
+
+
 def _compare(plane: Column, value: int, bits: int, valid: Column) -> Column:
     """struct(above, same): lanes above ``value`` and lanes equal to it, folded
     over the planes from the highest bit down."""

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from logspar.functions import log_text as T
 from logspar.plans import dialect
+from logspar.plans.plan_cache import PlanCache
 from logspar.sources import ndjson
 
 
+#: Readings of query texts.
+PLANS = PlanCache()
+
+
 def count_where(rows: DataFrame, predicate: Column) -> DataFrame:
     """Partial counts in each task, one row out."""
     return rows.filter(predicate).agg(F.count("*").alias("matches"))
@@ -25,11 +30,14 @@ def count_lines_with(rows: DataFrame, text: str, pattern: str) -> DataFrame:
 
 def run_query(spark: SparkSession, query: str, path: str, strict: bool = False) -> int:
     """The count that a query text has over an NDJSON file. A pattern that holds a
-    newline is counted over whole files, since it may straddle lines."""
+    newline is counted over whole files, since it may straddle lines. ``strict``
+    queries may ask for any field, numbers and strings."""
     if strict:
-        lines = ndjson.read_lines(spark, path)
-        return count_where(ndjson.with_fields(lines, "status", "latency", "severity", default_zero=False), dialect.parse_strict(query)).first().matches
-    parsed = dialect.parse_compat(query)
+        predicate, fields = dialect.strict_query(query)
+        numbers = T.json_unsigned(F.col("value"), *[f for f, kind in fields.items() if kind == "number"])
+        texts = {f: F.get_json_object("value", f"$.{f}") for f, kind in fields.items() if kind == "text"}
+        return count_where(ndjson.read_lines(spark, path).withColumns(numbers | texts), predicate).first().matches
+    parsed = PLANS.get_or_make(query, dialect.parse_compat)
     if isinstance(parsed, dialect.Search):
         whole = "\n" in parsed.pattern
         texts = spark.read.text(path, wholetext=True) if whole else ndjson.read_lines(spark, path)

@@ -46,7 +46,7 @@ def unsigned(value: int) -> Column:
 
 def leading_unsigned(text: str) -> int | None:
     """The integer that ``text`` starts with, negatives wrapped; None if there is none or it's too large."""
-    found = re.match(r"\s*([+-]?)(\d+)", text)
+    found = re.match(r"\s*([+-]?)(\d+)", text, re.ASCII)
     if not found or int(found[2]) >= TWO64:
         return None
     return -int(found[2]) % TWO64 if found[1] == "-" else int(found[2])
@@ -56,7 +56,7 @@ def parse_compat(text: str) -> Search | Numeric:
     text = text.strip(" \t\r\n")
     if not re.search("==|[<>]", text):
         return Search(_unwrap(text))
-    words = iter(re.sub("[&|]|AND|and", " ", text).split())
+    words = iter(re.findall(r"[^ \t\n\v\f\r]+", re.sub("[&|]|AND|and", " ", text)))
     targets = {"status": 0, "latency": 0}
     for word in words:
         field = next((f for f in targets if f in word), None)
@@ -77,18 +77,20 @@ def _operand(word: str, operator: str, rest: Iterator[str]) -> str:
 
 def _unwrap(text: str) -> str:
     inner = re.fullmatch(r"contains\((.*)\)", text, re.S)
-    text = inner[1] if inner else text
-    quoted = re.fullmatch(r"([\"'])(.*)\1", text, re.S)
-    return quoted[2] if quoted else text
+    text = inner[1].strip(" \t\r\n") if inner else text
+    quoted = re.fullmatch(r'"(.*)"', text, re.S)  # single quotes belong to the pattern
+    return quoted[1] if quoted else text
 
 
-_TOKEN = re.compile(r"\s*(?:(\d+)|\"([^\"]*)\"|(==|!=|>=|<=|>|<|\(|\))|(AND|OR|NOT)\b|([A-Za-z_]\w*))")
+_TOKEN = re.compile(r"\s*(?:([0-9]+)|\"([^\"]*)\"|(==|!=|>=|<=|>|<|\(|\))|(AND|OR|NOT)\b|([A-Za-z_]\w*))")
 _COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
 
 
 class _Strict:
     def __init__(self, text: str):
         self.tokens: list[tuple[int, str]] = []
+        #: Fields asked for, and whether as numbers or as texts.
+        self.fields: dict[str, str] = {}
         at, text = 0, text.rstrip()
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -128,12 +130,20 @@ class _Strict:
         number, text = self.take(1), None
         if number is None and (text := self.take(2)) is None:
             raise ValueError(f"{field} {operator} needs a number or a string in double quotes")
+        kind = "text" if number is None else "number"
+        if self.fields.setdefault(field, kind) != kind:
+            raise ValueError(f"{field} is compared with a number and with a string")
         return _COMPARE[operator](F.col(field), F.lit(text) if number is None else unsigned(int(number)))
 
 
-def parse_strict(text: str) -> Column:
+def strict_query(text: str) -> tuple[Column, dict[str, str]]:
+    """The predicate, and the fields it asks for with their kind, ``number`` or ``text``."""
     parser = _Strict(text)
     out = parser.either()
     if parser.tokens:
         raise ValueError(f"unexpected {parser.tokens[0][1]!r}")
-    return out
+    return out, parser.fields
+
+
+def parse_strict(text: str) -> Column:
+    return strict_query(text)[0]

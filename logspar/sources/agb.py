@@ -8,15 +8,15 @@ Parquet is the format to query; this one is for exchange.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspar.operators import bitslice
-from logspar.sources import ndjson
+from logspar.sources import files, ndjson
 
 FIELDS = ("status", "latency")
 PLANE_BYTES = 64 * 8
@@ -42,52 +42,101 @@ def blocks(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return grouped.mapInArrow(pack, "block bigint, data binary, offsets binary, n bigint")
 
 
-def convert(spark: SparkSession, json_path: str, agb_path: str) -> dict[str, int]:
-    """Write one NDJSON file as ``agb_path`` and ``agb_path + '.idx'`` (local files).
+def convert(spark: SparkSession, json_path: str, agb_path: str, fields: tuple[str, ...] = FIELDS) -> dict[str, int]:
+    """Write one NDJSON file as ``agb_path`` and ``agb_path + '.idx'``.
 
-    Blocks are made in parallel and streamed to the two files in order, one
-    partition at a time. Returns the counts and sizes of what was written.
+    Malformed lines take no lane; a missing or unusable field is 0; unsigned
+    values keep all 64 bits. A block's place in both files follows from its
+    number, so every task writes its own blocks there, and a task that runs again
+    writes the same bytes. Both paths must be on a folder that all executors
+    mount. Returns the counts and sizes of what was written.
     """
-    lines = ndjson.drop_malformed(ndjson.numbered_lines(spark, json_path))
-    # Malformed lines take no lane: rows are numbered anew over what is left, by offset.
-    rows = ndjson.with_fields(lines, *FIELDS).select("byte_offset", *FIELDS)
-    numbered = rows.orderBy("byte_offset").rdd.zipWithIndex().map(lambda x: (x[1] // 64, int(x[1] % 64), *x[0])).toDF("block bigint, lane int, byte_offset bigint, status bigint, latency bigint")
-    made = blocks(numbered).repartitionByRange("block").sortWithinPartitions("block")
-    records = n_blocks = 0
-    with open(agb_path, "wb") as data, open(agb_path + ".idx", "wb") as index:
-        for row in made.toLocalIterator():
-            data.write(row.data)
-            index.write(row.offsets)
-            records, n_blocks = records + row.n, n_blocks + 1
-    return {"records": records, "blocks": n_blocks, "data_bytes": n_blocks * PLANE_BYTES * len(FIELDS), "index_bytes": n_blocks * PLANE_BYTES}
+    target = files.mounted(agb_path)
+    lines = ndjson.with_unsigned(ndjson.numbered_lines(spark, json_path, documents=True), *fields)
+    two64 = F.lit("18446744073709551616").cast("decimal(20,0)")
+    signed = lambda f: F.when(F.col(f) > F.lit(2**63 - 1).cast("decimal(20,0)"), F.col(f) - two64).otherwise(F.col(f)).cast("bigint")
+    made = blocks(lines.select("block", "lane", "byte_offset", *[signed(f).alias(f) for f in fields]), fields)
+    width = PLANE_BYTES * len(fields)
+    for path in (target, target + ".idx"):
+        open(path, "wb").close()
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = n_blocks = 0
+        with open(target, "r+b") as data, open(target + ".idx", "r+b") as index:
+            for batch in batches:
+                for block, words, offsets, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    data.seek(block * width)
+                    data.write(words)
+                    index.seek(block * PLANE_BYTES)
+                    index.write(offsets)
+                    records, n_blocks = records + n, n_blocks + 1
+        yield pa.RecordBatch.from_arrays([pa.array([records], pa.int64()), pa.array([n_blocks], pa.int64())], names=["records", "blocks"])
+
+    done = made.mapInArrow(put, "records bigint, blocks bigint").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks")).first()
+    return {"records": done.records, "blocks": done.blocks, "data_bytes": done.blocks * width, "index_bytes": done.blocks * PLANE_BYTES}
+
+
+def _pieces(spark: SparkSession, path: str, width: int, make: Callable[[np.ndarray, bytes], pa.RecordBatch], schema: str) -> DataFrame:
+    """Records of ``width`` bytes: block numbers are dealt to tasks in ranges, and each batch of them is read at once."""
+    source = files.mounted(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(source, "rb") as data:
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                if len(ids):
+                    data.seek(int(ids[0]) * width)
+                    yield make(ids, data.read(len(ids) * width))
+
+    return spark.range(files.length(spark, path) // width).mapInArrow(run, schema)
 
 
 def read_blocks(spark: SparkSession, path: str, n_rows: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``block, valid`` and ``p_<field>`` planes; ``n_rows`` tells padding from rows."""
-    width = PLANE_BYTES * len(fields)
-    raw = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (x[1], bytearray(x[0]))).toDF("block bigint, data binary")
-    schema = "block bigint, valid bigint, " + ", ".join(f"p_{f} array<bigint>" for f in fields)
+    names = ["block", "valid", *(f"p_{f}" for f in fields)]
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            words = [np.frombuffer(d, "<i8").reshape(len(fields), 64) for d in batch.column(1).to_pylist()]
-            left = [min(64, max(0, n_rows - 64 * b)) for b in ids]
-            valid = np.array([(1 << k) - 1 for k in left], np.uint64).view(np.int64)
-            planes = [pa.array([w[k] for w in words], pa.list_(pa.int64())) for k in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(valid), *planes], names=["block", "valid", *(f"p_{f}" for f in fields)])
+    def unpack(ids: np.ndarray, data: bytes) -> pa.RecordBatch:
+        words = np.frombuffer(data, "<i8").reshape(len(ids), len(fields), 64)
+        left = np.clip(n_rows - 64 * ids, 0, 64)
+        valid = np.array([(1 << k) - 1 for k in left.tolist()], np.uint64).view(np.int64)
+        ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 64)
+        planes = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(words[:, k]).ravel())) for k in range(len(fields))]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(valid), *planes], names=names)
 
-    return raw.mapInArrow(unpack, schema)
+    return _pieces(spark, path, PLANE_BYTES * len(fields), unpack, "block bigint, valid bigint, " + ", ".join(f"p_{f} array<bigint>" for f in fields))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """``block, lane, byte_offset``, padding included."""
-    raw = spark.sparkContext.binaryRecords(path, PLANE_BYTES).zipWithIndex().map(lambda x: (x[1], [int(v) for v in np.frombuffer(x[0], "<i8")])).toDF("block bigint, at array<bigint>")
-    return raw.select("block", F.posexplode("at").alias("lane", "byte_offset"))
+
+    def unpack(ids: np.ndarray, data: bytes) -> pa.RecordBatch:
+        lane = np.tile(np.arange(64, dtype=np.int32), len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, 64)), pa.array(lane), pa.array(np.frombuffer(data, "<i8"))], names=["block", "lane", "byte_offset"])
+
+    return _pieces(spark, path, PLANE_BYTES, unpack, "block bigint, lane int, byte_offset bigint")
+
+
+def unsigned_bits(value: int) -> int:
+    """The signed integer with the bits of an unsigned one."""
+    return value - (1 << 64) if value >> 63 else value
+
+
+def match_mask(status: int, latency: int) -> Column:
+    """Lanes of read_blocks with this status and a latency above."""
+    return bitslice.equal_mask(F.col("p_status"), status, 64, F.col("valid")).bitwiseAND(bitslice.greater_mask(F.col("p_latency"), latency, 64, F.col("valid")))
+
+
+def reconstruct(spark: SparkSession, json_path: str, agb_path: str, n_rows: int, mask: Column, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``byte_offset, value`` of the lines that a mask over planes selects.
+
+    The first pass reads planes alone. Lanes of the mask meet the index on (block,
+    lane), which gives offsets; these meet the raw lines.
+    """
+    hits = read_blocks(spark, agb_path, n_rows, fields).select("block", F.explode(bitslice.lanes(mask)).alias("lane"))
+    offsets = read_index(spark, agb_path + ".idx").join(hits, ["block", "lane"]).select("byte_offset")
+    return ndjson.fetch_lines(spark, json_path, offsets)
 
 
 def count_matches(spark: SparkSession, path: str, n_rows: int, status: int, latency: int) -> int:
     """Rows of a block file with this status and a latency above, by plane kernels."""
-    found = read_blocks(spark, path, n_rows)
-    mask = bitslice.equal_mask(F.col("p_status"), status, 64, F.col("valid")).bitwiseAND(bitslice.greater_mask(F.col("p_latency"), latency, 64, F.col("valid")))
-    return bitslice.match_count(found, mask).first().matches
+    return bitslice.match_count(read_blocks(spark, path, n_rows), match_mask(status, latency)).first().matches

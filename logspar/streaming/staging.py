@@ -7,14 +7,16 @@ loses and repeats nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logspar.functions import log_text as T
-from logspar.sources import ndjson
+from logspar.sources import files, ndjson
+from logspar.streaming import wal
 
 BATCH_LINES = 1000
 
@@ -26,15 +28,44 @@ def typed(lines: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, make: Callable[[DataFrame], DataFrame] = typed, files_per_trigger: int = 1000) -> StreamingQuery:
-    """Take all lines that ``source`` has now and stop; call again for later files."""
+    """Take all lines that ``source`` has now and stop; call again for later files.
+
+    Batches lie under the id that the checkpoint gives the query, so one with a
+    new or lost checkpoint never overwrites what another has written.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        make(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        make(batch).write.mode("overwrite").parquet(f"{target}/run={run}/batch_id={batch_id}")
 
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("lineSep", "\n").text(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_lines(spark: SparkSession, lines: Iterable[str], target: str, log: str, batch_lines: int = BATCH_LINES) -> int:
+    """Take lines from an iterator, such as standard input, in batches.
+
+    Each batch is logged, stored as typed rows in a folder of its own, and
+    truncated from the log. What an earlier run left in the log is stored first.
+    """
+    done = [int(f[9:]) for f in files.folders(spark, target) if f.startswith("batch_id=")]
+    next_id = max([-1, *done, *wal.pending(spark, log)]) + 1
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        typed(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        wal.truncate(spark, log, batch_id)
+
+    for left in wal.pending(spark, log):
+        store(wal.recover(spark, log).filter(F.col("batch") == left).select("value"), left)
+    total, source = 0, iter(lines)
+    while batch := list(islice(source, batch_lines)):
+        held = ndjson.staged_batch(spark, [x.rstrip("\n") for x in batch])
+        wal.append(held, log, next_id)
+        store(held, next_id)
+        total, next_id = total + len(batch), next_id + 1
+    return total
+
+
 def ingest_parquet(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """The same for typed rows that are Parquet already."""
     schema = spark.read.parquet(source).schema
@@ -42,11 +73,12 @@ def ingest_parquet(spark: SparkSession, source: str, target: str, checkpoint: st
     return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def depth(query: StreamingQuery, target: DataFrame) -> int:
-    """Lines taken in less lines written."""
-    return sum(p["numInputRows"] for p in query.recentProgress) - target.count()
+def depth(staged: DataFrame, stored: DataFrame) -> DataFrame:
+    """``staged, stored, depth``: lines taken in, rows stored, and the rest."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(staged, "staged").join(F.broadcast(count(stored, "stored"))).select("staged", "stored", (F.col("staged") - F.col("stored")).alias("depth"))  # one row each
 
 
 def batches(rows: DataFrame, row_id: str = "row_id", lines: int = BATCH_LINES) -> DataFrame:
     """``batch, n``: rows in batches of ``lines``, the last one partial."""
-    return rows.groupBy(F.floor(F.col(row_id) / lines).cast("bigint").alias("batch")).agg(F.count("*").alias("n"))
+    return rows.groupBy(T.whole_quotient(F.col(row_id), lines).alias("batch")).agg(F.count("*").alias("n"))
