@@ -2,20 +2,21 @@
 
 The ``events`` table stands for a log: ``props`` is a JSON text with a numeric
 ``k`` (the status), ``value`` floored is the latency, the user is the trace id.
+The log is typed once a session and table, with its metadata; queries then
+filter plain Parquet columns. Queries over files are in ``file_queries``.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspar import file_queries
 from logspar.functions import log_text as T
-from logspar.operators import bitslice, promotion, rowgroups, search
+from logspar.operators import bitslice, promotion, report, rowgroups, search
 from logspar.plans.dialect import parse_compat, parse_strict
 from logspar.plans.predicates import And, Eq, Gt, overlaps, row_filter
-from logspar.sources import ndjson
+from logspar.sources import files, ndjson, store
 from logspar.streaming import staging
 
 STATUS, LATENCY, BITS, GROUP = 69, 20, 10, 1024
@@ -25,8 +26,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` seen as a log."""
+def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` seen as a log, parsed from its JSON texts."""
     row = F.col("event_id")
     return events(spark, sf_dir).select(
         row.alias("row_id"),
@@ -42,6 +43,21 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORES: dict[tuple, store.LogStore] = {}
+
+
+def log_store(spark: SparkSession, sf_dir: str) -> store.LogStore:
+    """The typed log of ``events`` and its metadata, written anew when the table changes."""
+    key = (spark.sparkContext.applicationId, *files.mark(spark, f"{sf_dir}/events.parquet"))
+    if key not in _STORES:
+        _STORES[key] = store.write(raw_log(spark, sf_dir), files.scratch(spark, "typed-log"), ["status", "latency", "row_id"], {"trace_id": 100_000})
+    return _STORES[key]
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_store(spark, sf_dir).rows()
+
+
 LOG_SQL = """WITH log AS (SELECT event_id AS row_id, event_id // 64 AS block, CAST(event_id % 64 AS INTEGER) AS lane, event_id // 1024 AS rg, ts, event_type, props,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS status, CAST(floor(value) AS BIGINT) AS latency, 'u-' || user_id AS trace_id FROM events) """
 
@@ -103,7 +119,7 @@ def zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rowgroups.zone_maps(log(spark, sf_dir), ["status", "latency", "row_id"])
+    return log_store(spark, sf_dir).zones()
 
 
 def zone_pruned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +137,14 @@ def ts_pruned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log(spark, sf_dir)
-    hits = rowgroups.bloom_contains(rowgroups.bloom_filters(rows, "trace_id"), "u-8").filter("hit")
-    return rows.join(hits, "rg", "left_semi").filter("trace_id = 'u-8'").select("row_id", "trace_id")
+    made = log_store(spark, sf_dir)
+    return rowgroups.pruned_scan(made.rows(), made.zones(), Eq("trace_id", "u-8"), {"trace_id": made.blooms("trace_id")}).select("row_id", "trace_id")
+
+
+def bloom_zone_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = log_store(spark, sf_dir)
+    node = And(Eq("trace_id", "u-8"), And(Gt("latency", LATENCY), Gt("row_id", 3000)))
+    return rowgroups.pruned_scan(made.rows(), made.zones(), node, {"trace_id": made.blooms("trace_id")}).select("row_id", "trace_id", "latency")
 
 
 def block_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +163,7 @@ def bit_planes_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log(spark, sf_dir)
-    both = bitslice.planes(rows, "status", BITS, "s").join(bitslice.planes(rows, "latency", 12, "l").drop("valid"), "block")
+    both = bitslice.planes_of(log(spark, sf_dir), {"s": ("status", BITS), "l": ("latency", 12)})
     mask = bitslice.equal_mask(F.col("s"), STATUS, BITS, F.col("valid")).bitwiseAND(bitslice.greater_mask(F.col("l"), LATENCY, 12, F.col("valid")))
     return both.select("block", mask.alias("mask"))
 
@@ -180,28 +200,17 @@ def staging_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through a stream into Parquet, and read back."""
-    root = _scratch(spark)
+    root = files.scratch(spark, "stream")
     source = f"{sf_dir}/events.parquet*"
     staging.ingest_parquet(spark, source, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type", "props")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="logspar-")
-
-
 def wal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A write-ahead file of all events, where the SQL's third is blank lines, read back."""
     numbered = F.concat_ws("\t", F.col("row_id").cast("string"), "props")
     ends = F.when(F.col("row_id") % 3 == 0, F.concat(numbered, F.lit("\r"))).when(F.col("row_id") % 3 == 1, F.lit("")).otherwise(numbered)
-    path = f"{_scratch(spark)}/wal"
+    path = f"{files.scratch(spark, 'recover')}/wal"
     log(spark, sf_dir).select(ends.alias("value")).write.text(path)
     parts = F.split("value", "\t", 2)
     return ndjson.recover_log(spark, path).select(parts[0].cast("bigint").alias("row_id"), parts[1].alias("value"))
@@ -230,6 +239,66 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowgroups.surviving_groups(meta, Gt("row_id", 5000)).agg(F.count("*").alias("surviving"))
 
 
+def zone_map_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of a field that only some groups have: null where a group has no value."""
+    rows = log(spark, sf_dir).withColumn("late", F.when(F.col("rg") % 2 == 1, F.col("latency")))
+    return rowgroups.zone_maps(rows, ["late"])
+
+
+def group_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set bits of each plane of each group of 65,536 rows."""
+    made = bitslice.group_planes(bitslice.planes(log(spark, sf_dir), "status", BITS))
+    ones = F.aggregate("words", F.lit(0).cast("bigint"), lambda acc, w: acc + F.bit_count(w).cast("bigint"))
+    return made.select("rg", "bit", F.size("words").cast("bigint").alias("words"), ones.alias("ones"))
+
+
+def plane_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bitslice.word_checksum(bitslice.planes(log(spark, sf_dir), "status", BITS))
+    return made.select(F.col("checksum").cast("string").alias("checksum"))
+
+
+def promotion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that queries asked for, judged by how often and by their measured density."""
+    rows, judged = log(spark, sf_dir), []
+    asked = promotion.field_heat(rows.select(F.when(F.col("status") < 50, "k").when(F.col("status") < 60, "rare").otherwise("absent").alias("field")))
+    rare = F.when(F.col("row_id") % 200 == 0, F.col("status"))
+    for field, value in (("k", F.get_json_object("props", "$.k")), ("rare", rare), ("absent", F.get_json_object("props", "$.absent"))):
+        judged.append(promotion.density(rows, value).select(F.lit(field).alias("field"), "density"))
+    heat = asked.join(F.broadcast(judged[0].unionAll(judged[1]).unionAll(judged[2])), "field")
+    return heat.select("field", "access_count", "density", promotion.should_promote(F.col("access_count"), F.col("density")).alias("promote"))
+
+
+def field_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of fields in the typed log, and whether its fingerprint follows the schema."""
+    rows = log(spark, sf_dir)
+    same = promotion.fingerprint(rows) == promotion.fingerprint(log(spark, sf_dir)) != promotion.fingerprint(rows.drop("ts"))
+    return spark.createDataFrame([(f, promotion.slot(rows, f), same) for f in ("row_id", "status", "nowhere")], "field string, slot int, same boolean")
+
+
+def compat_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of a substring query that mean the same, and one whose quotes are part of it."""
+    rows = log(spark, sf_dir)
+    counts = [search.count_occurrences(rows, "props", parse_compat(q).pattern).select(F.lit(q).alias("query"), "matches") for q in ('contains( "k" )', "contains(k)", '"k"', "k", "'k'")]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def interpreted_filter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numeric filter with and without compiled code."""
+    query = lambda: numeric_filter_count(spark, sf_dir)
+    return spark.createDataFrame([(report.interpreted(spark, query)[0].matches, query().first().matches)], "interpreted bigint, compiled bigint")
+
+
+def query_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries ran, whether the longest bounds all, and what the last gave."""
+    stats = report.QueryStats()
+    for _ in range(3):
+        rows = stats.run(lambda: numeric_filter_count(spark, sf_dir))
+    return spark.createDataFrame([(stats.total, stats.longest == max(stats.seconds) > 0, rows[0].matches)], "queries bigint, bounded boolean, matches bigint")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -237,8 +306,10 @@ QUERIES = {
         substring_lines, json_field_project, digit_run_field, block_lane_index, zone_maps, zone_pruned_groups, zone_pruned_scan, ts_pruned_groups,
         bloom_pruned_scan, block_presence, bit_planes, bit_planes_popcount, bitsliced_filter_count, mask_to_rows, unsliced_values, plane_xor,
         deferred_reconstruct, first_matches, staging_batches, stream_ingest, wal_recover, field_heat, promote_field, warm_scan, file_bytes, group_counts,
+        bloom_zone_pruned_scan, zone_map_reset, group_planes, plane_checksum, promotion_candidates, field_slots, compat_contains, interpreted_filter_count,
+        query_stats,
     )
-}
+} | file_queries.QUERIES
 
 _MATCH = f"status = {STATUS} AND latency > {LATENCY}"
 _PLANE = "(status >> b) & 1 = 1"
@@ -278,4 +349,18 @@ ORACLES = {
     "warm_scan": "SELECT count(*) AS matches FROM events WHERE length(event_type) = 4",
     "file_bytes": "SELECT CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(ceil(count(*) / 64) AS BIGINT) AS blocks FROM events",
     "group_counts": LOG_SQL + "SELECT count(*) AS surviving FROM (SELECT rg FROM log GROUP BY rg HAVING max(row_id) > 5000)",
-}
+    "bloom_zone_pruned_scan": LOG_SQL + f"SELECT row_id, trace_id, latency FROM log WHERE trace_id = 'u-8' AND latency > {LATENCY} AND row_id > 3000",
+    "zone_map_reset": LOG_SQL + "SELECT rg, count(*) AS n, min(CASE WHEN rg % 2 = 1 THEN latency END) AS min_late, max(CASE WHEN rg % 2 = 1 THEN latency END) AS max_late, CAST(count(*) FILTER (rg % 2 <> 1 OR latency IS NULL) AS BIGINT) AS nulls_late FROM log GROUP BY rg",
+    "group_planes": LOG_SQL + f"SELECT row_id // 65536 AS rg, CAST(b AS INTEGER) AS bit, CAST(1024 AS BIGINT) AS words, CAST(sum((status >> b) & 1) AS BIGINT) AS ones FROM log, range({BITS}) t(b) GROUP BY 1, 2",
+    "plane_checksum": LOG_SQL + f"SELECT CAST(sum(CASE WHEN {_PLANE} THEN CAST(power(CAST(2 AS DOUBLE), lane) AS HUGEINT) ELSE 0 END) % CAST('18446744073709551616' AS HUGEINT) AS VARCHAR) AS checksum FROM log, range({BITS}) t(b)",
+    "promotion_candidates": LOG_SQL
+    + """, a AS (SELECT CASE WHEN status < 50 THEN 'k' WHEN status < 60 THEN 'rare' ELSE 'absent' END AS field, count(*) AS access_count FROM log GROUP BY 1),
+  d AS (SELECT 'k' AS field, CAST(count(json_extract_string(props, '$.k')) AS DOUBLE) / count(*) AS density FROM log
+        UNION ALL SELECT 'rare', CAST(count(CASE WHEN row_id % 200 = 0 THEN status END) AS DOUBLE) / count(*) FROM log UNION ALL SELECT 'absent', CAST(0 AS DOUBLE))
+  SELECT field, access_count, density, CAST(0.7 AS DOUBLE) * access_count + CAST(0.3 AS DOUBLE) * density > 0.15 AND density > CAST(0.01 AS DOUBLE) AS promote FROM a JOIN d USING (field)""",
+    "field_slots": "SELECT * FROM (VALUES ('row_id', 0, true), ('status', 7, true), ('nowhere', -1, true)) t(field, slot, same)",
+    "compat_contains": """SELECT q AS query, CAST(sum((length(props) - length(replace(props, p, ''))) // length(p)) AS BIGINT) AS matches
+  FROM events, (VALUES ('contains( "k" )', 'k'), ('contains(k)', 'k'), ('"k"', 'k'), ('k', 'k'), (chr(39) || 'k' || chr(39), chr(39) || 'k' || chr(39))) t(q, p) GROUP BY q""",
+    "interpreted_filter_count": LOG_SQL + f"SELECT count(*) AS interpreted, count(*) AS compiled FROM log WHERE {_MATCH}",
+    "query_stats": LOG_SQL + f"SELECT CAST(3 AS BIGINT) AS queries, true AS bounded, count(*) AS matches FROM log WHERE {_MATCH}",
+} | file_queries.ORACLES

@@ -116,11 +116,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return _pieces(spark, path, PLANE_BYTES, unpack, "block bigint, lane int, byte_offset bigint")
 
 
-def unsigned_bits(value: int) -> int:
-    """The signed integer with the bits of an unsigned one."""
-    return value - (1 << 64) if value >> 63 else value
-
-
 def match_mask(status: int, latency: int) -> Column:
     """Lanes of read_blocks with this status and a latency above."""
     return bitslice.equal_mask(F.col("p_status"), status, 64, F.col("valid")).bitwiseAND(bitslice.greater_mask(F.col("p_latency"), latency, 64, F.col("valid")))

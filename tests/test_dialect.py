@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from logspar.plans.dialect import Numeric, Search, leading_unsigned, parse_compat, parse_strict
+from logspar.plans.dialect import Numeric, Search, leading_unsigned, parse_compat, parse_strict, strict_query
 from logspar.plans.plan_cache import PlanCache
 
 READINGS = [
@@ -44,6 +44,24 @@ def test_compat_search(text, pattern):
     assert parse_compat(text) == Search(pattern)
 
 
+@pytest.mark.parametrize("text, pattern", [('contains( "ERROR" )', "ERROR"), ("contains( a b )", "a b"), ("'q'", "'q'"), ("contains('q')", "'q'"), ('contains(" q ")', " q ")])
+def test_compat_unwrapping(text, pattern):
+    assert parse_compat(text) == Search(pattern)
+
+
+def test_ascii_digits_only():
+    assert parse_compat("status == \u0663") == Numeric(0, 0) and parse_compat("status == 5\u0663") == Numeric(5, 0)
+    assert parse_compat("status == 7\u00a0latency > 5") == Numeric(7, 0)  # only ASCII blanks part words
+
+
+def test_strict_fields(spark):
+    with pytest.raises(ValueError):
+        parse_strict("status == \u0663")
+    assert strict_query('a == 1 AND (b != "x" OR a > 2)')[1] == {"a": "number", "b": "text"}
+    with pytest.raises(ValueError):
+        strict_query('a == 1 AND a == "x"')
+
+
 @given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1))
 def test_compat_round_trip(a, b):
     assert parse_compat(f"status == {a} AND latency > {b}") == Numeric(a, b)
@@ -60,6 +78,11 @@ def test_strict(spark):
             parse_strict(bad)
 
 
+def test_plan_cache_keeps_blanks_of_patterns():
+    cache = PlanCache(9)
+    assert cache.get_or_make('"a  b"', parse_compat) == Search("a  b") and cache.get_or_make('"a b"', parse_compat) == Search("a b")
+
+
 def test_plan_cache():
     cache = PlanCache(2)
     cache.insert(1, "a")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from logspar import cli, queries
 from logspar.functions import log_text as T
-from logspar.operators import bitslice, promotion, rowgroups, search
+from logspar.operators import bitslice, promotion, report, rowgroups, search
 from logspar.plans.predicates import And, Eq, Gt, may_match, row_filter
-from logspar.sources import agb, ndjson
-from logspar.streaming import staging
+from logspar.sources import agb, files, ndjson, store
+from logspar.streaming import staging, wal
 
 
 def lines_file(path, lines, end="\n"):
@@ -152,3 +152,98 @@ def test_command_line(spark, tmp_path, capsys):
 def test_wal_recover_reads_a_file(spark):
     made = queries.wal_recover(spark, "/root/testdata/sf0.001")
     assert made.inputFiles() and all("/wal/" in f for f in made.inputFiles())
+
+
+def test_unsigned_values_in_block_file(spark, tmp_path):
+    values = [2**63 - 1, 2**63, 2**64 - 1, 0]
+    path = lines_file(tmp_path / "u.json", ["bad", *['  {"status": %d, "latency": %d, "severity": 3}' % (v, v) for v in values]])
+    out, fields = str(tmp_path / "u.agb"), ("status", "latency", "severity")
+    assert agb.convert(spark, path, out, fields)["records"] == 4
+    got = bitslice.values(agb.read_blocks(spark, out, 4, fields), "p_status").orderBy("lane").collect()
+    assert [r.value % 2**64 for r in got] == values
+    assert [r.byte_offset for r in agb.read_index(spark, out + ".idx").orderBy("lane").limit(4).collect()] == [6 + sum(len('  {"status": %d, "latency": %d, "severity": 3}\n' % (v, v)) for v in values[:i]) for i in range(4)]
+    agb.convert(spark, path, out)
+    for v in values:
+        assert agb.count_matches(spark, out, 4, v, 5) == (v > 5)
+    rows = agb.reconstruct(spark, path, out, 4, agb.match_mask(2**63, 2**63 - 1)).collect()
+    assert [r.value for r in rows] == ['{"status": %d, "latency": %d, "severity": 3}' % (2**63, 2**63)]
+    with pytest.raises(ValueError):
+        files.mounted("s3a://x/y")
+
+
+def test_group_planes(spark):
+    rows = spark.range(0, 70_000, 7).select(T.block(F.col("id")).alias("block"), T.lane(F.col("id")).alias("lane"), (F.col("id") % 5).alias("v"))
+    got = {(r.rg, r.bit): r.words for r in bitslice.group_planes(bitslice.planes(rows, "v", 3)).collect()}
+    assert set(got) == {(g, b) for g in (0, 1) for b in range(3)} and all(len(w) == 1024 for w in got.values())
+    for (g, b), words in got.items():
+        for i, w in enumerate(words):
+            want = sum(1 << k for k in range(64) if (n := g * 65536 + i * 64 + k) < 70_000 and n % 7 == 0 and n % 5 >> b & 1)
+            assert w % 2**64 == want
+
+
+def test_typed_log_is_pruned_by_parquet(spark, sf_dir, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shown = plan(queries.numeric_filter_count(spark, sf_dir))
+    assert "EqualTo(status,69)" in shown and "GreaterThan(latency,20)" in shown and "props" not in shown
+    assert "In(rg" in plan(queries.zone_pruned_scan(spark, "/root/testdata/sf0.01"))
+    rows = spark.range(0, 8000, 1, 1).select(F.col("id").alias("row_id"), F.expr("id div 1000").alias("rg"), F.xxhash64("id").cast("string").alias("key"))
+    rowgroups.write_grouped(rows, str(tmp_path / "g"), {"key": 8000}, 1000)
+    asked = spark.read.parquet(str(tmp_path / "g")).filter(F.col("key") == "absent")
+    for row in (asked, spark.read.parquet(str(tmp_path / "g")).filter("row_id > 6999")):
+        scanned = row.select("row_id")
+        scanned.collect()
+        node = scanned._jdf.queryExecution().executedPlan()
+        while node.children().size():
+            node = node.children().head()
+        read = node.metrics().apply("numOutputRows").value()
+        assert read <= 1000
+
+
+def test_bloom_prunes_in_the_driver_of_pruning(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("row_id"), F.expr("id div 1000").alias("rg"), (F.col("id") % 50).alias("latency"), F.concat(F.lit("t"), F.col("id")).alias("trace_id"))
+    made = store.write(rows, f"file://{tmp_path}/s", ["latency", "row_id"], {"trace_id": 4000})
+    node = And(Eq("trace_id", "t1500"), Gt("latency", -1))
+    groups = lambda n: {r.rg for r in rowgroups.surviving_groups(made.zones(), n, {"trace_id": made.blooms("trace_id")}).collect()}
+    assert 1 in groups(node) and len(groups(node)) < 4
+    assert groups(And(node, Gt("row_id", 1999))) == set() and groups(Eq("other", "x")) == {0, 1, 2, 3}
+    got = rowgroups.pruned_scan(made.rows(), made.zones(), node, {"trace_id": made.blooms("trace_id")})
+    assert [r.row_id for r in got.collect()] == [1500]
+
+
+def test_write_ahead_log(spark, tmp_path):
+    log, target = f"file://{tmp_path}/log", f"file://{tmp_path}/out"
+    assert wal.recover(spark, log).count() == 0 and wal.pending(spark, log) == []
+    for batch, lines in ((0, ["a\r", "", "b"]), (1, ["c"]), (1, ['{"status":7}'])):
+        wal.append(ndjson.staged_batch(spark, lines), log, batch)
+    assert sorted((r.batch, r.value) for r in wal.recover(spark, log).collect()) == [(0, "a"), (0, "b"), (1, '{"status":7}')]
+    wal.truncate(spark, log, 0)
+    # What is left is stored before new lines are.
+    assert staging.ingest_lines(spark, ['{"status":8}\n', "x\n", '{"status":9}'], target, log, 2) == 3
+    rows = spark.read.parquet(target).groupBy("batch_id").agg(F.sum("status").alias("s")).orderBy("batch_id").collect()
+    assert [(r.batch_id, r.s) for r in rows] == [(1, 7), (2, 8), (3, 9)] and wal.pending(spark, log) == []
+
+
+def test_new_checkpoint_keeps_older_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines_file(tmp_path / "in" / "1", ['{"status":1}'])
+    for n in (1, 2):
+        staging.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / f"check{n}")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == n
+
+
+def test_command_line_strict_and_stdin(spark, tmp_path, capsys):
+    path = lines_file(tmp_path / "s.json", ['{"status":500,"name":"a"}', '{"status":500,"name":"b"}'])
+    assert cli.main(["--strict", 'status >= 500 AND name == "b"', path], spark) == 0
+    assert "TOTAL MATCHING RECORDS : 1" in capsys.readouterr().out
+    assert cli.main(["--stream-ingest", str(tmp_path / "t")], spark, lines=['{"status":1}\n'] * 3) == 0
+    assert "rows 3" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_reports(spark, tmp_path):
+    stats = report.QueryStats()
+    assert stats.run(lambda: spark.range(3))[2].id == 2 and stats.total == 1 and stats.longest > 0
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    assert len(report.interpreted(spark, lambda: spark.range(4))) == 4 and spark.conf.get(key) == before
+    (tmp_path / "x").write_bytes(b"12345")
+    assert report.storage(spark, str(tmp_path / "x"), str(tmp_path / "x"))["ratio"] == 1
