@@ -37,17 +37,17 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     ``loss_mask`` has one entry for each turn, in order: of the segment of
     ``formatted`` that starts at the turn's ``<turn>`` or ``<join>``, ``skip``
     code points are left out and the next ``take`` count for the loss (0 for
-    other roles). Escaping happens before the shuffle, row by row; turns are
-    collected once by conversation, sorted, and joined by one array function,
-    in time linear in the conversation.
+    other roles). Turns are collected once by conversation, sorted as they are,
+    escaped, and joined by one array function, in time linear in the conversation.
     """
-    role = F.replace(escape(F.coalesce(F.col(role_col), F.lit(""))), F.lit("\n"), F.lit("\\n"))
+    shown = lambda role: F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.struct(F.col(turn_col).alias("turn"), role.alias("role"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).alias("_ls_turn"),
+        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("_ls_turn"),
     )
     wanted = F.array(*[F.lit(r.replace("\\", "\\b").replace("<", "\\l").replace("\n", "\\n")) for r in loss_roles])
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_ls_turn")).alias("_ls_all"))
+    sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("_ls_turn")).alias("_ls_raw"))
+    grouped = sorted_.select("conv_id", F.transform("_ls_raw", lambda t: F.struct(shown(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("_ls_all"))
     n = F.size("_ls_all")
     roles = F.transform("_ls_all", lambda t: t["role"])
     none = F.array(F.lit(None).cast("string"))

@@ -107,9 +107,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, part: str | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one, in
     ``order`` within ``group`` (columns without nulls; ``group`` may be empty).
+    With ``part``, also the number of the range that a row is in; one task has
+    the whole of a range.
 
     Two levels, so that no group need fit in one task: rows are range-sorted
     into partitions, the partitions' sums (one row for each partition and group
@@ -123,12 +125,16 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     sums = table.groupBy(pid, *group).agg(F.sum(value).alias(own))
     before = W.partitionBy(*group).orderBy(pid).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(pid, *group, F.coalesce(F.sum(own).over(before), F.lit(0)).alias(offset))
+    if not group:
+        offsets = F.broadcast(offsets)  # one row for each partition
     inside = W.partitionBy(pid, *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
         table.withColumn(own, F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(offsets, [pid, *group])
         .withColumn(out, F.col(own) + F.col(offset))
-        .drop(pid, own, offset)
+        .drop(own, offset)
+        .withColumnsRenamed({pid: part} if part else {})
+        .drop(pid)
     )
 
 

@@ -3,8 +3,9 @@
 Cases: a null text, or one without a letter, is predicted ``und`` with score 0;
 rows with a null label are not learned from; with no labelled row at all every
 prediction is ``und``; a null id counts as empty text when rows are held out;
-whole texts are used; repeated rows count each time; an empty table gives an
-empty result. Only the columns named are read.
+whole texts are used, long ones slice by slice; repeated rows count each time; an
+empty table gives an empty result. Only the columns named are read. More than
+MOST_LABELS labels are an error.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ SMOOTHING = 0.5
 #: Characters scored at once.
 CHUNK = 500_000
 UNKNOWN = "und"
+#: Labels that a model may have: each takes a row of 2 ** BITS counters in every task.
+MOST_LABELS = 500
+#: A text is rejected whose n-grams are not more likely, by this mean of natural
+#: logarithms, in its language than if all columns were alike. (Ten thousand documents of the
+#: four languages have 1.05 to 4.5; letters at random have less than 0.)
+MIN_MARGIN = 0.5
 
 
 @lru_cache(maxsize=1)
@@ -68,6 +76,9 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     at, some, size = [], [], 0
     for i, t in enumerate(texts):
         if t:
+            if len(t) > CHUNK:  # a long text is a chunk of its own
+                yield [i], [t]
+                continue
             at.append(i)
             some.append(t)
             size += len(t)
@@ -78,6 +89,17 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield at, some
 
 
+def count_columns(text: str) -> np.ndarray:
+    """How often a text has each column: a long one in slices that reach as far
+    into the next as an n-gram does."""
+    low, more = text.lower(), max(ORDERS) - 1
+    counts = np.zeros((1 << BITS) + 1, np.int64)
+    for at in range(0, len(low), CHUNK):
+        columns, _ = features([low[at : at + CHUNK + more]])
+        counts += np.bincount(columns[: CHUNK if at + CHUNK < len(low) else None].ravel(), minlength=len(counts))
+    return counts
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -85,20 +107,31 @@ class Model:
     weights: np.ndarray
     prior: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its probability, and the mean margin of its n-grams over chance."""
+        names, scores, margins = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
         if not self.languages:
-            return names, scores
+            return names, scores, margins
         for at, some in _chunks(texts):
-            columns, n = features(some)
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            total = self.prior + sum(np.add.reduceat(self.weights[columns[:, k]], starts, axis=0) for k in range(columns.shape[1]))
+            if len(some) == 1 and len(some[0]) > CHUNK:
+                counts = count_columns(some[0])
+                likely, grams = (counts @ self.weights)[None, :], np.array([counts[:-1].sum()])
+            else:
+                columns, n = features(some)
+                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+                likely = sum(np.add.reduceat(self.weights[columns[:, k]], starts, axis=0) for k in range(columns.shape[1]))
+                grams = np.add.reduceat((columns < 1 << BITS).sum(axis=1), starts)
+            total = self.prior + likely
             best = total.argmax(axis=1)
             p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            for i, t, b, s in zip(at, some, best, p, strict=True):
+            margin = likely[np.arange(len(best)), best] / np.maximum(grams, 1) + BITS * np.log(2)
+            for i, t, b, s, m in zip(at, some, best, p, margin, strict=True):
                 if any(map(str.isalpha, t)):
-                    names[i], scores[i] = self.languages[b], s
-        return names, scores
+                    names[i], scores[i], margins[i] = self.languages[b], s, m
+        return names, scores, margins
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
@@ -118,6 +151,10 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
         for batch in batches:
             labels = batch.column(0).to_pylist()
             for at, some in _chunks(batch.column(1).to_pylist()):
+                if len(some) == 1 and len(some[0]) > CHUNK:
+                    c, d = sums.get(labels[at[0]], (np.zeros(width, np.int64), 0))
+                    sums[labels[at[0]]] = (c + count_columns(some[0]), d + 1)
+                    continue
                 columns, n = features(some)
                 where = np.repeat(np.arange(len(some)), n)
                 named = np.array([labels[i] for i in at], dtype=object)
@@ -126,6 +163,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
                     found = np.bincount(columns[mine[where]].ravel(), minlength=width)
                     c, d = sums.get(lang, (np.zeros(width, np.int64), 0))
                     sums[lang] = (c + found, d + int(mine.sum()))
+            if len(sums) > MOST_LABELS:
+                raise ValueError(f"more than {MOST_LABELS} labels")
         yield emit(sums)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +185,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
         sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
         total[r.lang] = total.get(r.lang, 0) + r.docs
     languages = sorted(sums)
+    if len(languages) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     weights = np.zeros((width, len(languages)))
     for k, lang in enumerate(languages):
         c = sums[lang][:-1] + SMOOTHING
@@ -156,6 +197,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` (its columns must not include lang_pred or score) with both added."""
+    if {"lang_pred", "score"} & {c.lower() for c in docs.columns}:
+        raise ValueError("the table has a column lang_pred or score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     keep = [c for c in docs.columns if c != text_col]
@@ -169,15 +212,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``min_score``."""
+def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5, min_margin: float = MIN_MARGIN, fill: str | None = None) -> DataFrame:
+    """The rows of ``docs`` in a language that the model knows: it is predicted
+    with at least ``min_score``, and the text's n-grams are more likely in it than
+    by chance, by a mean of at least ``min_margin``. Where the string column
+    ``fill`` is null it gets the language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
+    to = docs.columns.index(fill) if fill else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, scores, margins = shared.value.judge(batch.column(at).to_pylist())
+            known = np.array([n != UNKNOWN for n in names], bool) & (scores >= min_score) & (margins >= min_margin)
+            if to is not None:
+                column = batch.column(to)
+                batch = batch.set_column(to, batch.schema.field(to), pc.coalesce(column, pa.array(names, column.type)))
+            yield batch.filter(pa.array(known))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,25 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Cases: a null text has size 0; a document of size 0 is never taken; null is a
-source of its own, after all others. Repeated rows are separate documents. A
-source without words has target 0. An empty table gives an empty result. Other
-columns are not read by ``mix_plan``; ``mix_documents`` carries them.
+source of its own, after all others. Repeated rows are separate documents, and
+rows that share an id are told apart by text and source. A source without words
+has target 0. An empty table gives an empty result. Other columns are not read by
+``mix_plan``; ``mix_documents`` carries them, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logspar.llm.common import running_sum, stage
+from logspar.llm.common import broadcast_if_small, free_name, running_sum, stage
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source, and a document, is taken at most so many times its size.
 MAX_REPEATS = 3
-#: Ids with their repeats are broadcast up to this many rows.
-BROADCAST_KEYS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,8 +48,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return table.withColumn("over", over).select("_ls_key", "source_size", F.when(F.col("over").isNull(), F.col("cap").cast("double")).otherwise(share.cast("double")).alias("target"), "budget")
 
 
+def _content(text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(text_col), F.col(source_col))
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row.
+    """``doc_id, source, size, source_size, target, taken`` for every row, and a
+    hash of its text and source.
 
     Documents are shuffled by a seeded hash of their id. A document's virtual
     finish time is its source's running word count at its end, over the source's
@@ -62,42 +66,45 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     sizes = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("_ls_key"), size.alias("size")).select(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("_ls_key"), size.alias("size"), _content(text_col, source_col).alias("_ls_content")).select(
             F.monotonically_increasing_id().alias("_ls_row"), "*", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_ls_mix")
         ),
         "mix-sizes",
     )
     targets = stage(source_targets(sizes), "mix-targets")
-    placed = running_sum(sizes.select("_ls_row", "_ls_key", "size", "_ls_mix"), ["_ls_key"], ["_ls_mix", "_ls_row"], "size", "_ls_before")
+    # Rows that share an id come in the order of their content; only equal rows are ordered by place.
+    placed = running_sum(sizes.select("_ls_row", "_ls_key", "size", "_ls_mix", "_ls_content"), ["_ls_key"], ["_ls_mix", "_ls_content", "_ls_row"], "size", "_ls_before")
     entries = (
         placed.filter("size > 0")
         .join(targets, "_ls_key")
         .withColumn("_ls_pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))))
-        .select("_ls_row", "size", "_ls_mix", "_ls_pass", "budget", ((F.col("_ls_pass") * F.col("source_size") + F.col("_ls_before") + F.col("size")) / F.col("target")).alias("_ls_finish"))
+        .select("_ls_row", "size", "_ls_mix", "_ls_content", "_ls_pass", "budget", ((F.col("_ls_pass") * F.col("source_size") + F.col("_ls_before") + F.col("size")) / F.col("target")).alias("_ls_finish"))
     )
-    queue = running_sum(stage(entries, "mix-entries"), [], ["_ls_finish", "_ls_mix", "_ls_pass", "_ls_row"], "size", "_ls_total")
+    queue = running_sum(stage(entries, "mix-entries"), [], ["_ls_finish", "_ls_mix", "_ls_pass", "_ls_content", "_ls_row"], "size", "_ls_total")
     taken = queue.filter("_ls_total + size <= budget").groupBy("_ls_row").agg(F.sum("size").alias("_ls_taken"))
     return (
         sizes.join(targets.drop("budget"), "_ls_key")
         .join(taken, "_ls_row", "left")
-        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("_ls_taken", F.lit(0).cast("long")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("_ls_taken", F.lit(0).cast("long")).alias("taken"), F.col("_ls_content").alias("content"))
     )
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The mixed corpus: every row of ``docs`` as many times as the mix takes it.
 
-    Rows that share an id are repeated as often as the one of them taken most.
+    Rows equal in id, text and source are one another's equals: together they
+    come as often as all of them are taken.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, seed).filter("taken > 0")
-    times = stage(plan.groupBy(F.col("doc_id").alias("_ls_id")).agg((F.max(F.col("taken") / F.col("size"))).cast("int").alias("_ls_times")), "mix-times")
-    if times.count() <= BROADCAST_KEYS:
-        times = F.broadcast(times)
-    return (
-        docs.join(times, F.col(id_col).eqNullSafe(F.col("_ls_id")))
-        .withColumn("_ls_pass", F.explode(F.sequence(F.lit(1), F.col("_ls_times"))))
-        .drop("_ls_id", "_ls_times", "_ls_pass")
-    )
+    own_id, own_hash, times, rows = (free_name(docs, x) for x in ("id", "content", "times", "rows"))
+    repeats = F.col("taken") / F.col("size")
+    found = plan.groupBy(F.col("doc_id").alias(own_id), F.col("content").alias(own_hash)).agg(F.sum(repeats).cast("int").alias(times), F.count("*").alias(rows))
+    counted = stage(found, "mix-times")
+    met = docs.join(broadcast_if_small(counted, 32), F.col(id_col).eqNullSafe(F.col(own_id)) & (_content(text_col, source_col) == F.col(own_hash)))
+    out = met.filter(F.col(rows) == 1)
+    if not counted.filter(F.col(rows) > 1).isEmpty():
+        out = out.unionByName(met.filter(F.col(rows) > 1).dropDuplicates([own_id, own_hash]))
+    return out.withColumn(rows, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

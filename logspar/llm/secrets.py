@@ -2,8 +2,9 @@ r"""Secret scans with corpus-wide ownership frequency, in Spark expressions only
 
 Base kinds: ``assign``, ``access`` and ``hex``. For each candidate value the scan
 counts the distinct repositories and owners it occurs in over the whole corpus.
-A value that one owner alone has and that looks live adds a span of kind
-``live`` over the value; a value that many owners have is a copied example.
+A value that one owner alone has, in however many repositories, and that looks
+live adds a span of kind ``live`` over the value; a value that more owners have
+is a copied example, and its spans are given apart with these counts.
 
 Cases: a null text counts as empty; texts are scanned whole; a null repository or
 owner counts as one of its own; overlapping kinds are all reported; repeated rows
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspar.llm.common import stage
+from logspar.llm.common import spread_join, stage, stage_measured
 
 # The base patterns, with the kinds in the order that breaks ties.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,15 +83,22 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """``doc_id, base, live``: arrays of (start, rank, end) of every row."""
-    scanned = stage(scan(docs, id_col, text_col, repo_col, owner_col), "secrets")
-    owned = ownership(scanned).filter(F.col("n_owners") <= MAX_LIVE_OWNERS).select("value_hash")
+    """``doc_id, base, live, copied``: arrays of (start, rank, end) of every row;
+    ``copied`` has the base spans of copied examples, with n_repos and n_owners."""
+    scanned, seen = stage_measured(scan(docs, id_col, text_col, repo_col, owner_col), "secrets", n=F.coalesce(F.sum(F.size("found").cast("long")), F.lit(0)))
+    owned = stage(ownership(scanned), "ownership")
     looks = (F.length("s.value") >= MIN_LIVE_CHARS) & F.col("s.value").rlike("[0-9]") & F.col("s.value").rlike("[A-Za-z]") & ~F.col("s.value").rlike(PLACEHOLDER)
-    mine = scanned.select("_ls_row", F.explode("found").alias("s")).filter(looks).select("_ls_row", F.sha2("s.value", 256).alias("value_hash"), F.struct(F.col("s.value_start").alias("start"), F.lit(KINDS.index("live")).alias("rank"), F.col("s.end").alias("end")).alias("span"))
-    live = mine.join(owned, "value_hash", "left_semi").groupBy("_ls_row").agg(F.collect_set("span").alias("live"))
+    each = scanned.select("_ls_row", F.explode("found").alias("s")).select("_ls_row", F.sha2("s.value", 256).alias("value_hash"), looks.alias("looks"), "s.start", "s.rank", "s.end", "s.value_start")
+    met = spread_join(each, owned, ["value_hash"], "n_found", seen["n"], ["_ls_row"])
+    alone = F.col("n_owners") <= MAX_LIVE_OWNERS
+    span = F.when(alone & F.col("looks"), F.struct(F.col("value_start").alias("start"), F.lit(KINDS.index("live")).alias("rank"), F.col("end").alias("end")))
+    copy = F.when(~alone, F.struct("start", "rank", "end", "n_repos", "n_owners"))
+    live = met.groupBy("_ls_row").agg(F.collect_set(span).alias("live"), F.array_sort(F.collect_list(copy)).alias("copied"))
     base = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    return scanned.select("_ls_row", "doc_id", base.alias("base")).join(live, "_ls_row", "left").select("doc_id", "base", F.coalesce("live", empty).alias("live"))
+    return scanned.select("_ls_row", "doc_id", base.alias("base")).join(live, "_ls_row", "left").select(
+        "doc_id", "base", F.coalesce("live", empty).alias("live"), F.coalesce("copied", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,n_repos:bigint,n_owners:bigint>>")).alias("copied")
+    )
 
 
 def _text(spans: Column) -> Column:

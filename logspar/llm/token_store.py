@@ -5,9 +5,10 @@ A store is a folder of three Parquet tables:
 * ``chunks``: ``hash`` (SHA-256 of the bytes), ``n``, ``ids`` (little-endian
   unsigned 16-bit integers, or 32-bit where the vocabulary needs it), each
   distinct chunk once;
-* ``recipes``: in ascending ``doc_id`` order, ``doc_id, start, n_tokens, root``
-  and ``chunks``, the hashes that make up the document in order;
-* ``manifest``: one row for each recipe partition, the Merkle root over its
+* ``recipes``: in ascending ``doc_id`` order by folder (``part=N``) and row,
+  ``doc_id, start, n_tokens, root`` and ``chunks``, the hashes that make up the
+  document in order, with their ``sizes``;
+* ``manifest``: one row for each recipe folder, the Merkle root over its
   documents' roots; ``store_root`` folds these into one.
 
 Chunk borders are set by the ids themselves: a rolling hash over WINDOW ids ends
@@ -21,6 +22,7 @@ one by one, ordered by content; an empty table makes an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
 import unicodedata
 import zlib
 from array import array
@@ -35,14 +37,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspar.llm.common import Memo, running_sum, scratch_path, shuffle_partitions, small_batches, stage
+from logspar.llm.common import Memo, running_sum, scratch_path, shuffle_partitions, small_batches, stage, unstage
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Rolling hash: ids it spans, mean chunk in ids (a power of two), least and most.
 WINDOW, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Words a worker remembers, and chunk hashes it knows it has written, before either starts anew.
-MEMO = 400_000
+MEMO = 700_000
 SEEN = 200_000
 #: Rows that are in Python objects at once.
 SLICE = 256
@@ -56,13 +58,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+# The rules of the vocabulary files that are encoded word by word.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+SUFFIX = "</w>"
+
+
 class WordEncoder:
     """Whole-text encoding by the tokenizers library, word by word.
 
     The tokenizer drops white space and never joins what it separates, so a text
     is encoded by encoding its words. A word is cut as the file's pattern cuts
     it, and the library's BPE model encodes each distinct piece once. Words with
-    characters beyond the Latin blocks go through the library's whole encoder.
+    characters beyond the Latin blocks go through the library's whole encoder. So
+    does every text if the vocabulary file has other rules than RULES.
     """
 
     def __init__(self, path: str):
@@ -74,8 +89,9 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
-        # Fixed value: the split pattern of the vocabulary file.
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        rules = json.loads(self.whole.to_str())
+        self.by_word = all(rules.get(k) == v for k, v in RULES.items()) and rules["model"]["type"] == "BPE" and rules["model"]["end_of_word_suffix"] == SUFFIX
+        self.cut = regex.compile(SPLIT).findall
         self.control = regex.compile(r"[\x1c-\x1f]").search
         self.table = _byte_letters()
         self.wide = self.whole.get_vocab_size() > 1 << 16
@@ -84,9 +100,12 @@ class WordEncoder:
         self.words = Memo(self.word)
         self.mark = lru_cache(maxsize=None)(self.piece)
 
+    def shown(self, p: str) -> str:
+        """A piece in the letters that stand for its bytes."""
+        return p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.table)
+
     def piece(self, p: str) -> bytes:
-        shown = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.table)
-        return self.pack([t.id for t in self.model.tokenize(shown)])
+        return self.pack([t.id for t in self.model.tokenize(self.shown(p))])
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -101,9 +120,10 @@ class WordEncoder:
             return self.words[low[:-1]] + self.mark(low[-1])
         return b"".join([self.words[p] if p.isalpha() else self.mark(p) if len(p) == 1 else self.piece(p) for p in self.cut(low)])
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str | None) -> bytes:
         """Ids of a text and the end id, packed in 16 bits, or 32 for a large vocabulary."""
-        if self.control(text):  # str.split() takes these four for white space, the tokenizer doesn't
+        text = text or ""
+        if not self.by_word or self.control(text):  # str.split() takes four control characters for white space, the tokenizer doesn't
             return self.pack([*self.whole.encode(text, add_special_tokens=False).ids, END_ID])
         words = text.split()
         memo = self.words
@@ -171,7 +191,7 @@ def _cutter(path: str):
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 rows: list[list] = [[] for _ in names[1:]]
-                encoded = [own.encode(text or "") for text in part.column(1).to_pylist()]
+                encoded = list(map(own.encode, part.column(1).to_pylist()))
                 marked, base = marks(np.frombuffer(b"".join(encoded), kind)), 0
                 for data in encoded:
                     n = len(data) // kind.itemsize
@@ -203,28 +223,31 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Each text is encoded once. A task leaves out chunks it has just written;
     what is left is dealt by hash and each hash written once, so a chunk that a
     third of all documents share moves at most once for each task. Recipes,
-    without ids, are range-sorted; their starts are two-level prefix sums.
+    without ids, are range-sorted once; their starts are two-level prefix sums,
+    and each range is written as a folder that has its row of the manifest.
     """
     schema = "doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, sizes array<int>, fresh array<struct<hash:binary,n:int,ids:binary>>"
     with small_batches(docs.sparkSession):
         cut = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(vocabulary), schema), "cut")
     cut.select(F.explode("fresh").alias("c")).select("c.*").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     keyed = cut.select("doc_id", "n_tokens", "root", "chunks", "sizes", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_ls_order"), F.col("doc_id").isNotNull().alias("_ls_has"))
-    placed = running_sum(keyed, [], ["_ls_has", "_ls_order", "root"], "n_tokens", "start")
-    parts = shuffle_partitions(docs.sparkSession)
-    ordered = placed.repartitionByRange(parts, "start").sortWithinPartitions("start").select("doc_id", "start", "n_tokens", "root", "chunks", "sizes")
-    ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed = running_sum(keyed, [], ["_ls_has", "_ls_order", "root"], "n_tokens", "start", part="part")
+    ordered = placed.sortWithinPartitions("part", "start").select("part", "doc_id", "start", "n_tokens", "root", "chunks", "sizes")
+    ordered.write.partitionBy("part").option("compression", "zstd").parquet(f"{path}/recipes")
+    unstage(cut)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots, first = [], None
+        made, at = [], None
         for batch in batches:
-            roots += batch.column(1).to_pylist()
-            first = batch.column(0)[0].as_py() if first is None and batch.num_rows else first
-        if roots:
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([len(roots)], pa.int64()), pa.array([merkle(roots)], pa.binary())], names=["first_start", "n_docs", "root"])
+            for part, start, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    made.append((start, []))
+                    at = part
+                made[-1][1].append(root)
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.int64()), pa.array([len(r) for _, r in made], pa.int64()), pa.array([merkle(r) for _, r in made], pa.binary())], names=["first_start", "n_docs", "root"])
 
-    recipes = docs.sparkSession.read.parquet(f"{path}/recipes").select("start", "root")
-    recipes.repartitionByRange(parts, "start").sortWithinPartitions("start").mapInArrow(fold, "first_start bigint, n_docs bigint, root binary").write.parquet(f"{path}/manifest")
+    recipes = docs.sparkSession.read.schema("start bigint, root binary, part int").parquet(f"{path}/recipes").select("part", "start", "root")
+    recipes.repartition("part").sortWithinPartitions("part", "start").mapInArrow(fold, "first_start bigint, n_docs bigint, root binary").write.parquet(f"{path}/manifest")
 
 
 def store_root(spark: SparkSession, path: str) -> bytes:
@@ -232,6 +255,11 @@ def store_root(spark: SparkSession, path: str) -> bytes:
     return merkle([r.root for r in spark.read.parquet(f"{path}/manifest").orderBy("first_start").collect()])
 
 
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    """All recipes; none, of the same schema, if the store has no document."""
+    return spark.read.schema("doc_id bigint, start bigint, n_tokens bigint, root binary, chunks array<binary>, sizes array<int>").parquet(f"{path}/recipes")
+
+
 def _manifest_check(spark: SparkSession, path: str, like: str) -> DataFrame:
     """No rows, of schema ``like``; an error if recipes differ from the manifest.
 
@@ -268,7 +296,7 @@ def _manifest_check(spark: SparkSession, path: str, like: str) -> DataFrame:
 
     kind = "k bigint, start bigint, root binary"
     every = spark.createDataFrame([(k, None, None) for k in range(len(manifest))], kind)
-    placed = spark.read.parquet(f"{path}/recipes").select("start", "root").mapInArrow(place, kind).unionAll(every)
+    placed = _recipes(spark, path).select("start", "root").mapInArrow(place, kind).unionAll(every)
     return placed.repartition(shuffle_partitions(spark), "k").sortWithinPartitions("k", "start").mapInArrow(compare, like)
 
 
@@ -330,7 +358,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     Pieces meet by (document, position); only one document's ids, never a
     chunk's users, come together in one row. Recipes that differ from the manifest raise an error.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     pieces = recipes.select("start", F.posexplode("chunks").alias("i", "hash")).join(read_chunks(spark, path), "hash")
     joined = pieces.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("p"))
     ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"]))
@@ -346,16 +374,15 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
     from its chunks', recipes that differ from the manifest, raise an error.
     """
     crcs = read_chunks(spark, path, digest=True)
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "chunks")
-    used = recipes.select("start", F.posexplode("chunks").alias("i", "hash"))
-    met = used.join(crcs, "hash").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("i", "hash", "n", "crc"))).alias("p"))
+    recipes = _recipes(spark, path)
+    used = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("i", "hash"))
+    met = used.join(crcs, "hash", "left").groupBy("start").agg(F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"), F.min("root").alias("root"), F.array_sort(F.collect_list(F.struct("i", "hash", "n", "crc"))).alias("p"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, n_tokens, root, pieces in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                pieces = pieces or []
-                if merkle([p["hash"] for p in pieces]) != root or sum(p["n"] for p in pieces) != n_tokens:
+                if any(p["n"] is None for p in pieces) or merkle([p["hash"] for p in pieces]) != root or sum(p["n"] for p in pieces) != n_tokens:
                     raise ValueError(f"document {doc} can't be rebuilt from its chunks")
                 crc = 0
                 for p in pieces:
@@ -363,9 +390,8 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
                 out.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = recipes.select("doc_id", "start", "n_tokens", "root").join(met, "start", "left").select("doc_id", "start", "n_tokens", "root", "p")
     kind = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return rows.mapInArrow(check, kind).unionAll(_manifest_check(spark, path, kind))
+    return met.select("doc_id", "start", "n_tokens", "root", "p").mapInArrow(check, kind).unionAll(_manifest_check(spark, path, kind))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logspar.llm.common import stage
+from logspar.llm.common import broadcast_if_small, stage
 
 ALLOW_LIST = "allow"
 
@@ -78,17 +78,19 @@ def _keys(url: Column) -> Column:
 def url_verdicts(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", date_col: str = "fetch_date") -> DataFrame:
     """``page_id, fetch_date, n_active, lists, blocked``, one row per capture.
 
-    The as-of join is on key equality with the date inside the interval. It runs
-    over distinct (key, date) pairs, so a host with a third of all captures meets
-    its intervals once a day. What matched, at most one row for each list key and
-    date, is then joined to the captures.
+    Keys that no entry has are left out first. The as-of join is on key equality
+    with the date inside the interval. It runs over distinct (key, date) pairs, so a
+    host with a third of all captures meets its intervals once a day. What matched,
+    at most one row for each list key and date, is then joined to the captures. The
+    list's keys and the matches are broadcast if they are small by count.
     """
     rows = stage(captures.select(F.monotonically_increasing_id().alias("_ls_row"), F.col(id_col).alias("page_id"), F.col(date_col).cast("date").alias("fetch_date"), _keys(F.col(url_col)).alias("_ls_keys")), "captures")
-    open_ = intervals(entries)
-    exploded = rows.select("_ls_row", "fetch_date", F.explode("_ls_keys").alias("key"))
+    open_ = stage(intervals(entries), "intervals")
+    listed = broadcast_if_small(stage(open_.select("key").distinct(), "list-keys"), 96)
+    exploded = rows.select("_ls_row", "fetch_date", F.explode("_ls_keys").alias("key")).join(listed, "key", "left_semi")
     asked = exploded.select("key", "fetch_date").distinct()
     inside = (asked["key"] == open_["key"]) & (asked["fetch_date"] >= open_["from_date"]) & (open_["to_date"].isNull() | (asked["fetch_date"] < open_["to_date"]))
-    active = asked.join(open_, inside).groupBy(asked["key"], "fetch_date").agg(F.collect_set("list_name").alias("names"))
+    active = broadcast_if_small(stage(asked.join(open_, inside).groupBy(asked["key"], "fetch_date").agg(F.collect_set("list_name").alias("names")), "active"), 192)
     hits = exploded.join(active, ["key", "fetch_date"]).groupBy("_ls_row").agg(F.sum(F.size("names")).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
     names = F.coalesce("names", F.array().cast("array<string>"))
     return rows.join(hits, "_ls_row", "left").select(

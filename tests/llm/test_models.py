@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logspar.llm import bpe, embedding_dedup, exact_dedup, language_id, mixing, simhash, token_store
+from logspar.llm import bpe, embedding_dedup, language_id, mixing, simhash, token_store
 
 SCHEMA = "doc_id bigint, text string, source string, lang string, _extra string"
 ODD = [None, "", " ", "don't STOP... we'll  see\n\n1234 ½ Ünïcode ñ é é ΑΣ İI ﬁ 你好 🙂", "<|endoftext|> x", "a\x1cb\x85c d", "z" * 3000, "the " * 4000 + "end", "\x00\x01 ​ tail "]
@@ -92,6 +93,20 @@ def test_manifest(spark, tmp_path):
                 read(spark, f"{path}-{name}").collect()
 
 
+def test_words_and_rules():
+    """Encoding by words equals the library's; a file with other rules has whole texts encoded."""
+    own, whole = token_store.WordEncoder(token_store.VOCABULARY), Tokenizer.from_file(token_store.VOCABULARY)
+    whole.encode_special_tokens = True
+    texts = ODD + ["Straße, Éire! naïve? 'tis don't o'clock x's U.S. a1b2 ŉ ǅ ẞ İzmir Ω ﬃ e\u0301 \u0301a a\u0301. ß. ... ! ?!", "fresh words here; Fresh WORDS. here"]
+    wanted = [whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    read = lambda made: [np.frombuffer(x, "<u2").tolist() for x in made]
+    assert own.by_word and read(map(own.encode, texts)) == wanted
+    other = token_store.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    assert not other.by_word and read(map(other.encode, texts)) == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_crc_join():
     a, b = b"abc" * 50, b"xyz" * 77
     assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
@@ -202,22 +217,162 @@ def test_embedding_lone_pairs(spark, monkeypatch):
     assert sum(r.component_id == r.vec_id % 1500 for r in got) >= 0.97 * len(x)
 
 
+def brute_bayes(labelled, texts):
+    """Naive Bayes in plain Python: (label, probability) of each text."""
+
+    def grams(text):
+        low = "".join(c if ord(c) >= 0x10000 or c.isalpha() else " " for c in text.lower()) + "     "
+        for order in language_id.ORDERS:
+            for i in range(len(low) - 5 + 1):  # the blanks after a text start no n-gram of their own
+                if i == len(low) - 5 or low[i : i + 2] == "  ":
+                    continue
+                h = order * 0x9E3779B1 & 0xFFFFFFFF
+                for c in low[i : i + order]:
+                    h = ((h ^ ord(c)) * 0x85EBCA6B) & 0xFFFFFFFF
+                    h ^= h >> 13
+                yield (h * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - language_id.BITS
+
+    counts, n = {}, {}
+    for text, label in labelled:
+        if text is not None and label is not None and text:
+            mine = counts.setdefault(label, {})
+            n[label] = n.get(label, 0) + 1
+            for g in grams(text):
+                mine[g] = mine.get(g, 0) + 1
+    size, half = 1 << language_id.BITS, language_id.SMOOTHING
+    total = {x: sum(c.values()) + half * size for x, c in counts.items()}
+    for text in texts:
+        if not text or not any(map(str.isalpha, text)):
+            yield "und", 0.0
+            continue
+        found = list(grams(text))
+        at = {x: math.log(n[x] / sum(n.values())) + sum(math.log((c.get(g, 0) + half) / total[x]) for g in found) for x, c in counts.items()}
+        best = max(sorted(at), key=at.get)
+        yield best, 1 / sum(math.exp(v - at[best]) for v in at.values())
+
+
+def test_language_id_against_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    labelled = [(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5]
+    wanted = list(brute_bayes(labelled, [r.text for r in rows]))
+    got = {r.doc_id: r for r in language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for r, (lang, score) in zip(rows, wanted, strict=True):
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-6)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_of_long_texts(spark, sf_dir, monkeypatch):
+    """Slices of a long text count what the whole does; labels are bounded; rubbish goes."""
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [" ".join(t or "" for t in table(spark, sf_dir)[i : i + 9]) + "Aé ñ İx" for i in range(0, 45, 9)]
+    whole = [np.bincount(language_id.features([t])[0].ravel(), minlength=(1 << language_id.BITS) + 1) for t in texts]
+    model = language_id.fit(frame)
+    names, scores, margins = model.judge(texts)
+    monkeypatch.setattr(language_id, "CHUNK", 1000)
+    for t, counts in zip(texts, whole, strict=True):
+        assert (language_id.count_columns(t)[:-1] == counts[:-1]).all()
+    again = model.judge(texts)
+    assert again[0] == names and np.allclose(again[1], scores) and np.allclose(again[2], margins)
+    monkeypatch.setattr(language_id, "MOST_LABELS", 1)
+    with pytest.raises(Exception, match="labels"):
+        language_id.fit(frame)
+    rows = [(1, texts[0], "s", None, None), (2, "xqzv kjwq zzxq qqjx vvkq wxzj qkzx jjqv", "s", "en", None), (3, "\u4f60\u597d\u4e16\u754c" * 9, "s", None, None), (4, texts[1], None, "kept", None)]
+    left = {r.doc_id: r.lang for r in language_id.drop_unknown(spark.createDataFrame(rows, SCHEMA), model, fill="lang").collect()}
+    assert left == {1: names[0], 4: "kept"}
+
+
+def test_embedding_scales_and_lengths(spark):
+    """Components near the ends of double, parts of different lengths in one table, and one that is hot."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (10.0**e * v).tolist(), "a") for i, (e, v) in enumerate((e, np.array([1.0, 2.0, 3.0])) for e in (-300, -200, 0, 200, 300))]
+    rows += [(10, [1.0, 2.0], "a"), (11, [-0.0, 1.0], "b"), (12, [0.0, 1.0], "b"), (13, [5e-324, 0.0], "b")]
+    center = rng.standard_normal(8)
+    rows += [(100 + i, (center + 0.01 * rng.standard_normal(8)).tolist(), "c") for i in range(400)]
+    measured = {}
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string"), measured=measured).collect()}
+    assert [got[i].n_links for i in range(5)] == [4] * 5 and {got[i].component_id for i in range(5)} == {0}
+    assert got[10].n_links == 0 and got[11].n_links == got[12].n_links == 1 and got[13].n_links == 0
+    assert {got[100 + i].n_links for i in range(400)} == {399} and {got[100 + i].component_id for i in range(400)} == {100}
+    assert set(measured) == {"8:c"} and measured["8:c"] == 1.0
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def plain_mix(rows):
+    """Times that each (id, text, source) is taken; rows have ids of their own."""
+    size = {r[0]: len(words_of(r[1])) for r in rows}
+    by = {}
+    for i, _, source in rows:
+        by.setdefault(source, []).append(i)
+    names = sorted(x for x in by if x is not None) + [None] * (None in by)
+    total = {x: sum(size[i] for i in by[x]) for x in names}
+    weight, budget, full = {x: mixing.WEIGHTS[k % 3] for k, x in enumerate(names)}, sum(total.values()), set()
+    while True:
+        free = [x for x in names if x not in full]
+        rest = budget - sum(3 * total[x] for x in full)
+        share = {x: rest * weight[x] / sum(weight[y] for y in free) for x in free} | {x: 3 * total[x] for x in full}
+        over = {x for x in free if share[x] > 3 * total[x]}
+        if not over:
+            break
+        full |= over
+    queue = []
+    for x in names:
+        before = 0
+        for h, i in sorted((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i) for i in by[x]):
+            if size[i]:
+                queue += [((p * total[x] + before + size[i]) / share[x], h, p, i) for p in range(3)]
+            before += size[i]
+    took, used = dict.fromkeys(size, 0), 0
+    for *_, i in sorted(queue):
+        used += size[i]
+        took[i] += used <= budget
+    return took
+
+
 def test_pipeline(spark, sf_dir, reference_bpe):
-    """Each stage against a plain version of it on its own input."""
+    """Every stage against a plain version of it, by multiplicity."""
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = [name for name, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "exact_dedup", "simhash_dedup", "mixing", "byte_bpe"]
-    rows = {r.doc_id: r.text for r in frame.collect()}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_dedup", "mixing", "byte_bpe"]
+    rows = {r.doc_id: (r.text, r.source, r.lang) for r in frame.collect()}
     known = corpus_pipeline.known_language(spark, frame, sf_dir)
     assert known.columns == frame.columns
-    assert {r.doc_id for r in known.collect()} == {i for i, t in rows.items() if t and any(map(str.isalpha, t))}
-    last = {}
-    for i in sorted(r.doc_id for r in known.collect()):
-        last[rows[i]] = i
-    assert sorted(r.doc_id for r in exact_dedup.drop_copies(known).collect()) == sorted(last.values())
+    kept = {r.doc_id: r.lang for r in known.collect()}
+    assert set(kept) == {i for i, (t, _, _) in rows.items() if t and any(map(str.isalpha, t))}
+    assert all(kept[i] == rows[i][2] for i in kept if rows[i][2])
+    last = {rows[i][0]: i for i in sorted(kept)}
+    ids = sorted(last.values())
+    prints = [brute_fingerprint(rows[i][0]) for i in ids]
+    least = brute_links(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    firsts = [ids[k] for k in sorted(set(least))]
+    times = plain_mix([(i, rows[i][0], rows[i][1]) for i in firsts])
     out = corpus_pipeline.run(spark, sf_dir).collect()
-    near = simhash.near_groups(frame.filter(frame.doc_id.isin(list(last.values())))).filter("doc_id = component_id")
-    kept = {r.doc_id for r in near.collect()}
-    plan = {r.doc_id: r.taken // max(1, r.size) for r in mixing.mix_plan(frame.filter(frame.doc_id.isin(list(kept)))).collect()}
-    assert len(out) == sum(plan.values()) and all(plan[r.doc_id] for r in out)
-    assert all(r.ids == reference_bpe.encode_ordinary(rows[r.doc_id]) for r in out[:40])
+    got = {}
+    for r in out:
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        if got[r.doc_id] == 1:
+            assert r.ids == reference_bpe.encode_ordinary(rows[r.doc_id][0])
+    assert got == {i: n for i, n in times.items() if n}
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """An empty table, null ids, repeated rows, odd column names."""
+    said = "the people of the town have known for years that this was the only road to the other side"
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, _ls_id string, _ls_times int"
+    text = lambda k: " ".join(f"{said[(k * 7 + j) % 50:]} {k}" for j in range(4))
+    rows = [(i, text(i), "en", f"s{i % 2}", 1, "x", 2) for i in range(8)] + [(3, text(3), "en", "s1", 1, "x", 2), (None, text(30), None, None, 1, None, None), (None, text(30), None, None, 1, None, None), (20, None, "en", "s0", 0, None, None), (21, "", None, "s0", 0, None, None)]
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs_ = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage_name, apply in corpus_pipeline.STAGES[:-1]:
+            out = apply(spark, docs_, str(tmp_path))
+            assert out.columns == docs_.columns, stage_name
+            out.write.parquet(f"{tmp_path}/{name}/{stage_name}")
+            docs_ = spark.read.parquet(f"{tmp_path}/{name}/{stage_name}")
+            found = [(r.doc_id, r.lang) for r in docs_.collect()]
+            if stage_name == "language_id" and some:
+                assert len(found) == 11 and {x for x, _ in found} == {None, *range(8)} and all(lang for _, lang in found)
+            if stage_name == "exact_dedup" and some:
+                assert len(found) == 9
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == docs_.count()

@@ -139,3 +139,72 @@ def test_running_sum(spark):
     for r in got:
         assert r.before == sum(v for k, o, v in rows if k == r.k and o < r.o)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_chat_ties_follow_raw_texts(spark):
+    rows = [(1, 0, "user", "<b"), (1, 0, "user", "Ab"), (1, 0, "us<er", "z"), (1, 0, "user", "\\a"), (1, None, "user", "first")]
+    made = chat_format.read_chats(chat_format.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).first()
+    assert [(t.role, t.text) for t in made.turns] == [("user", "first"), ("us<er", "z"), ("user", "<b"), ("user", "Ab"), ("user", "\\a")]
+
+
+def test_url_list_of_thousands(spark):
+    """A long list, broadcast and joined by a shuffle, against a plain reading of it."""
+    entries = [("spam", "host", f"h{i}.org", action, f"2024-0{1 + (i + k) % 9}-01") for i in range(1500) for k, action in enumerate(("add", "remove"))]
+    list_ = spark.createDataFrame(entries, "list_name string, kind string, value string, action string, on_date string").withColumn("on_date", F.col("on_date").cast("date"))
+    table = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")), F.lit(".org/x")).alias("url"), F.lit("2024-05-15").cast("date").alias("fetch_date"))
+    want = set()
+    for p in range(3000):
+        i = 7 if p % 3 == 0 else p
+        days = sorted((d, a) for _, _, v, a, d in entries if v == f"h{i}.org" and d <= "2024-05-15") if i < 1500 else []
+        if days and days[-1][1] == "add":
+            want.add(p)
+    for size in (common.BROADCAST_BYTES, 0):
+        kept, common.BROADCAST_BYTES = common.BROADCAST_BYTES, size
+        try:
+            assert {r.page_id for r in url_filter.url_verdicts(table, list_).filter("blocked").collect()} == want
+        finally:
+            common.BROADCAST_BYTES = kept
+
+
+def test_secret_ownership(spark):
+    """Repositories and owners are separate; a value of two owners is a copied example."""
+    rows = [(1, "token=abcd1234efgh5678", "r1", "ann"), (2, "token=abcd1234efgh5678", "r2", "ann"), (3, "x token=copyd1234efgh567", "r1", "ann"), (4, "token=copyd1234efgh567", "r3", "bob")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, repo string, owner string")
+    got = {r.doc_id: r for r in secrets.secret_spans(table, repo_col="repo", owner_col="owner").collect()}
+    assert [len(got[i].live) for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
+    assert [tuple(x) for x in got[3].copied] == [(2, 0, 24, 2, 2)] and not got[1].copied
+
+
+def test_mixing_rows_that_share_ids(spark):
+    """Each row comes as often as the plan takes it, however the table is cut and the ids repeat."""
+    rows = [(i % 5, "w " * (1 + i % 7), f"s{i % 3}", "en") for i in range(60)] + [(None, "n n", None, "en")] * 3 + [(9, None, "s0", "en")]
+    table = docs(spark, rows)
+    plan = {}
+    for r in mixing.mix_plan(table).collect():
+        key = (r.doc_id, r.size, r.source)
+        plan[key] = plan.get(key, 0) + (r.taken // r.size if r.size else 0)
+    for cut in (table, table.repartition(3), table.coalesce(1)):
+        out = {}
+        for r in mixing.mix_documents(cut).collect():
+            key = (r.doc_id, len(r.text.split()), r.source)
+            out[key] = out.get(key, 0) + 1
+        assert out == {k: v for k, v in plan.items() if v}
+    clash = table.withColumnRenamed("_extra", "_ls_times").withColumn("_ls_id", F.lit(1))
+    assert mixing.mix_documents(clash).columns == clash.columns and mixing.mix_documents(clash).count() == sum(plan.values())
+
+
+def test_drop_copies_keeps_columns(spark):
+    rows = [(1, "a", "s", None), (1, "a", "t", None), (1, "b", "s", None), (None, None, "s", None), (None, "", "s", None), (2, "a" * 70, "s", None), (3, "a" * 70, "s", None)]
+    clash = docs(spark, rows).withColumnRenamed("_extra", "_ls_sha").withColumn("_LS_id", F.lit(1)).withColumn("_ls_hit", F.lit(True))
+    left = exact_dedup.drop_copies(clash)
+    assert left.columns == clash.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in left.collect()) == [(0, ""), (1, "a"), (1, "b"), (3, "aa")]
+
+
+def test_spread_join(spark):
+    """Hot keys are split, and a join's rows are the same."""
+    big = spark.range(4000).select((F.col("id") % 7).alias("k"), "id").withColumn("k", F.when(F.col("id") < 2500, 0).otherwise(F.col("k")))
+    right = big.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 3")
+    for how in ("inner", "left"):
+        got = common.spread_join(big, right, ["k"], "n", 4000, ["id"], how)
+        assert sorted((r.id, r.n) for r in got.collect()) == sorted((r.id, r.n) for r in big.join(right, "k", how).collect())
