@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next one's
 ``docs``. All but the last return the columns of ``documents``.
+
+Cases: documents with a null, empty or letterless text go in the first stage; a
+null ``lang`` is filled there; a null id is an id below all others where copies
+are dropped, never a near copy, and mixed and encoded like any other; rows that
+repeat id and text count as one after the second stage; a null source is a source
+of its own; an empty table gives an empty result; other columns, whatever their
+names, are carried up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,9 +21,11 @@ from logspar.llm.common import stage
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that the model is sure of go."""
+    """Documents in no language that the model knows go: without a letter, or with
+    n-grams that are no likelier in the language found than by chance. A null
+    ``lang`` gets the language found."""
     model = language_id.fit(docs.filter(~language_id.held_out("doc_id")))
-    return language_id.drop_unknown(docs, model)
+    return language_id.drop_unknown(docs, model, fill="lang")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
