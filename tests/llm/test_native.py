@@ -168,7 +168,7 @@ def test_url_list_of_thousands(spark):
 
 def test_secret_ownership(spark):
     """Repositories and owners are separate; a value of two owners is a copied example."""
-    rows = [(1, "token=abcd1234efgh5678", "r1", "ann"), (2, "token=abcd1234efgh5678", "r2", "ann"), (3, "x token=copyd1234efgh567", "r1", "ann"), (4, "token=copyd1234efgh567", "r3", "bob")]
+    rows = [(1, "token=q7Rt9zLm2KxW4vBn", "r1", "ann"), (2, "token=q7Rt9zLm2KxW4vBn", "r2", "ann"), (3, "x token=copyd1234efgh567", "r1", "ann"), (4, "token=copyd1234efgh567", "r3", "bob")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, repo string, owner string")
     got = {r.doc_id: r for r in secrets.secret_spans(table, repo_col="repo", owner_col="owner").collect()}
     assert [len(got[i].live) for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
