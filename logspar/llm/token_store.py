@@ -182,7 +182,6 @@ def merkle(hashes: list[bytes]) -> bytes:
 
 def _cutter(path: str):
     names = ["doc_id", "n_tokens", "root", "chunks", "sizes", "fresh"]
-    fresh_type = pa.list_(pa.struct([("hash", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoder(path), set()
@@ -190,14 +189,14 @@ def _cutter(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                rows: list[list] = [[] for _ in names[1:]]
+                rows, new, ends = [[] for _ in names[1:-1]], ([], [], []), [0]
                 encoded = list(map(own.encode, part.column(1).to_pylist()))
                 marked, base = marks(np.frombuffer(b"".join(encoded), kind)), 0
                 for data in encoded:
                     n = len(data) // kind.itemsize
                     here = marked[np.searchsorted(marked, base, "right") : np.searchsorted(marked, base + n, "right")] - base
                     base += n
-                    start, hashes, sizes, fresh = 0, [], [], []
+                    start, hashes, sizes = 0, [], []
                     for end in borders(n, here.tolist()):
                         chunk = data[start * kind.itemsize : end * kind.itemsize]
                         h = hashlib.sha256(chunk).digest()
@@ -205,14 +204,18 @@ def _cutter(path: str):
                         sizes.append(end - start)
                         if h not in seen:
                             seen.add(h)
-                            fresh.append({"hash": h, "n": end - start, "ids": chunk})
+                            new[0].append(h)
+                            new[1].append(end - start)
+                            new[2].append(chunk)
                         start = end
                     if len(seen) > SEEN:
                         seen.clear()
-                    for column, value in zip(rows, (n, merkle(hashes), hashes, sizes, fresh), strict=True):
+                    ends.append(len(new[0]))
+                    for column, value in zip(rows, (n, merkle(hashes), hashes, sizes), strict=True):
                         column.append(value)
-                kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), fresh_type]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=names)
+                fresh = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(new, (pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["hash", "n", "ids"]))
+                kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True)), fresh], names=names)
 
     return run
 
@@ -333,6 +336,31 @@ def crc_join(a: int, b: int, n_b: int) -> int:
     return _apply(_zeros(n_b), a) ^ b if n_b else a
 
 
+@lru_cache(maxsize=1)
+def _shifts() -> np.ndarray:
+    """For each power of two up to 2^39, what so many zero bytes make of each byte of a CRC register."""
+    tables = np.zeros((40, 4, 256), np.uint32)
+    for k in range(40):
+        columns = np.array(_zeros(1 << k), np.uint32)
+        for byte in range(4):
+            for bit in range(8):
+                tables[k, byte, np.arange(256) >> bit & 1 == 1] ^= columns[8 * byte + bit]
+    return tables
+
+
+def crc_of_pieces(crc: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """CRC-32 of byte strings out of their pieces' CRCs and sizes; ``start`` has the first piece of each."""
+    ends = np.cumsum(size)
+    last = ends[np.append(start[1:], len(size)) - 1]
+    after = np.repeat(last, np.diff(np.append(start, len(size)))) - ends
+    moved, tables = crc.astype(np.uint32), _shifts()
+    for k in range(int(after.max(initial=0)).bit_length()):
+        at = np.flatnonzero(after >> k & 1)
+        v = moved[at]
+        moved[at] = tables[k, 0, v & 255] ^ tables[k, 1, v >> 8 & 255] ^ tables[k, 2, v >> 16 & 255] ^ tables[k, 3, v >> 24]
+    return np.bitwise_xor.reduceat(moved, start) if len(start) else moved[:0]
+
+
 def _checked(h: bytes, n: int, ids: bytes) -> bytes:
     """A chunk's ids as little-endian unsigned 32-bit bytes, if its address is right."""
     if hashlib.sha256(ids).digest() != h:
@@ -380,14 +408,20 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, n_tokens, root, pieces in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                if any(p["n"] is None for p in pieces) or merkle([p["hash"] for p in pieces]) != root or sum(p["n"] for p in pieces) != n_tokens:
+            if not batch.num_rows:
+                continue
+            pieces = batch.column(4).flatten()
+            hashes, n, crc = pieces.field(1).to_pylist(), pieces.field(2), pieces.field(3)
+            if n.null_count:
+                raise ValueError("the store can't be rebuilt: it lacks a chunk")
+            size = n.to_numpy(zero_copy_only=False).astype(np.int64)
+            count = batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(count) - count
+            total = np.add.reduceat(size, start)
+            for doc, n_tokens, root, at, k, real in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), start.tolist(), count.tolist(), total.tolist(), strict=True):
+                if merkle(hashes[at : at + k]) != root or real != n_tokens:
                     raise ValueError(f"document {doc} can't be rebuilt from its chunks")
-                crc = 0
-                for p in pieces:
-                    crc = crc_join(crc, p["crc"], 4 * p["n"])
-                out.append(crc)
+            out = crc_of_pieces(crc.to_numpy(zero_copy_only=False), 4 * size, start).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"

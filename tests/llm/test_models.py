@@ -110,6 +110,12 @@ def test_words_and_rules():
 def test_crc_join():
     a, b = b"abc" * 50, b"xyz" * 77
     assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    rng = random.Random(6)
+    strings = [[rng.randbytes(rng.choice((1, 4, 700, 9000))) for _ in range(rng.randrange(1, 9))] for _ in range(40)]
+    flat = [x for some in strings for x in some]
+    start = np.cumsum([0, *map(len, strings[:-1])])
+    made = token_store.crc_of_pieces(np.array([zlib.crc32(x) for x in flat]), np.array([len(x) for x in flat]), start)
+    assert made.tolist() == [zlib.crc32(b"".join(x)) for x in strings]
 
 
 def brute_fingerprint(text):
