@@ -31,7 +31,7 @@ from logspar.llm.common import Memo
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pre-tokens remembered by a worker before its memory of them starts anew.
-MEMO = 600_000
+MEMO = 400_000
 #: Rows of an Arrow batch that are in Python objects at once.
 SLICE = 256
 _SEED = 7

@@ -31,10 +31,10 @@ CHUNK = 500_000
 UNKNOWN = "und"
 #: Labels that a model may have: each takes a row of 2 ** BITS counters in every task.
 MOST_LABELS = 500
-#: A text is rejected whose n-grams are not more likely, by this mean of natural
-#: logarithms, in its language than if all columns were alike. (Ten thousand documents of the
-#: four languages have 1.05 to 4.5; letters at random have less than 0.)
-MIN_MARGIN = 0.5
+#: A text is rejected whose n-grams are less likely in its language than if all
+#: columns were alike, by this mean of natural logarithms. (Prose has 1 to 4.5, a short
+#: sentence around a long key down to -0.4, letters at random about -2.)
+MIN_MARGIN = -1.0
 
 
 @lru_cache(maxsize=1)
