@@ -78,21 +78,27 @@ class WordEncoder:
     it, and the library's BPE model encodes each distinct piece once. Words with
     characters beyond the Latin blocks go through the library's whole encoder. So
     does every text if the vocabulary file has other rules than RULES.
+
+    A text may hold the string of an added token, such as an end mark. With
+    ``plain`` it is encoded like any other; without, as the library does by
+    default, it gives that token's id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = plain
         self.model = self.whole.model
         rules = json.loads(self.whole.to_str())
         self.by_word = all(rules.get(k) == v for k, v in RULES.items()) and rules["model"]["type"] == "BPE" and rules["model"]["end_of_word_suffix"] == SUFFIX
         self.cut = regex.compile(SPLIT).findall
-        self.control = regex.compile(r"[\x1c-\x1f]").search
+        # str.split() takes four control characters for white space, the tokenizer doesn't; and added tokens are found in whole texts, whatever their case.
+        apart = [regex.escape(t.content) for t in self.whole.get_added_tokens_decoder().values() if not (plain and t.special)]
+        self.unlike_words = regex.compile("|".join([r"[\x1c-\x1f]", *apart]), regex.IGNORECASE).search
         self.table = _byte_letters()
         self.wide = self.whole.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
@@ -123,7 +129,7 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         """Ids of a text and the end id, packed in 16 bits, or 32 for a large vocabulary."""
         text = text or ""
-        if not self.by_word or self.control(text):  # str.split() takes four control characters for white space, the tokenizer doesn't
+        if not self.by_word or self.unlike_words(text):
             return self.pack([*self.whole.encode(text, add_special_tokens=False).ids, END_ID])
         words = text.split()
         memo = self.words
@@ -133,8 +139,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str = VOCABULARY) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str = VOCABULARY, plain: bool = True) -> WordEncoder:
+    return WordEncoder(path, plain)
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -180,11 +186,11 @@ def merkle(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
-def _cutter(path: str):
+def _cutter(path: str, plain: bool):
     names = ["doc_id", "n_tokens", "root", "chunks", "sizes", "fresh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = encoder(path), set()
+        own, seen = encoder(path, plain), set()
         kind = np.dtype("<u4" if own.wide else "<u2")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -220,8 +226,8 @@ def _cutter(path: str):
     return run
 
 
-def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> None:
-    """Encode ``docs`` and write a store at ``path``.
+def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, plain: bool = True) -> None:
+    """Encode ``docs`` and write a store at ``path``; ``plain`` as for WordEncoder.
 
     Each text is encoded once. A task leaves out chunks it has just written;
     what is left is dealt by hash and each hash written once, so a chunk that a
@@ -231,7 +237,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
     schema = "doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, sizes array<int>, fresh array<struct<hash:binary,n:int,ids:binary>>"
     with small_batches(docs.sparkSession):
-        cut = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(vocabulary), schema), "cut")
+        cut = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cutter(vocabulary, plain), schema), "cut")
     cut.select(F.explode("fresh").alias("c")).select("c.*").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     keyed = cut.select("doc_id", "n_tokens", "root", "chunks", "sizes", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_ls_order"), F.col("doc_id").isNotNull().alias("_ls_has"))
     placed = running_sum(keyed, [], ["_ls_has", "_ls_order", "root"], "n_tokens", "start", part="part")
@@ -429,6 +435,7 @@ def verify_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of all documents, read back; ids are the library's with its default settings."""
     path = scratch_path(spark, "store")
-    write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, plain=False)
     return verify_documents(spark, path)

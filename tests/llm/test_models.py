@@ -107,6 +107,20 @@ def test_words_and_rules():
     assert not other.by_word and read(map(other.encode, texts)) == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
+def test_added_tokens(spark, tmp_path):
+    """Strings of added tokens: the library's default ids on request, as the query asks."""
+    texts = ODD + ["a <|endoftext|> x", "<|EndOfText|>", "x<|startoftext|>y <|endoftext|><|endoftext|> z", "<| endoftext |>", "<|endoftext", "pipes <| and |> here", "<\u0338|endoftext|> \x1c <|endoftext|>"]
+    whole = Tokenizer.from_file(token_store.VOCABULARY)
+    want = [whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    own = token_store.WordEncoder(token_store.VOCABULARY, plain=False)
+    assert own.by_word and [np.frombuffer(own.encode(t), "<u2").tolist() for t in texts] == want
+    assert 49407 in want[len(ODD)]
+    docs(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    start = np.concatenate([[0], np.cumsum([len(x) for x in want])])
+    rows = sorted(token_store.op3_token_store(spark, f"file://{tmp_path}").collect())
+    assert [tuple(r)[:4] for r in rows] == [(i, start[i], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)]
+
+
 def test_crc_join():
     a, b = b"abc" * 50, b"xyz" * 77
     assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
