@@ -96,9 +96,10 @@ class WordEncoder:
         rules = json.loads(self.whole.to_str())
         self.by_word = all(rules.get(k) == v for k, v in RULES.items()) and rules["model"]["type"] == "BPE" and rules["model"]["end_of_word_suffix"] == SUFFIX
         self.cut = regex.compile(SPLIT).findall
-        # str.split() takes four control characters for white space, the tokenizer doesn't; and added tokens are found in whole texts, whatever their case.
-        apart = [regex.escape(t.content) for t in self.whole.get_added_tokens_decoder().values() if not (plain and t.special)]
-        self.unlike_words = regex.compile("|".join([r"[\x1c-\x1f]", *apart]), regex.IGNORECASE).search
+        # str.split() takes four control characters for white space, the tokenizer doesn't; added tokens are found in whole texts, by what they begin with.
+        begin = {t.content[:2] for t in self.whole.get_added_tokens_decoder().values() if not (plain and t.special)}
+        self.by_word &= all(x.isascii() and x.lower() == x.upper() for x in begin)  # the same in any case
+        self.unlike_words = ("\x1c", "\x1d", "\x1e", "\x1f", *begin)
         self.table = _byte_letters()
         self.wide = self.whole.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
@@ -129,7 +130,7 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         """Ids of a text and the end id, packed in 16 bits, or 32 for a large vocabulary."""
         text = text or ""
-        if not self.by_word or self.unlike_words(text):
+        if not self.by_word or any(x in text for x in self.unlike_words):
             return self.pack([*self.whole.encode(text, add_special_tokens=False).ids, END_ID])
         words = text.split()
         memo = self.words
