@@ -11,7 +11,6 @@ that the table lacks.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logspar.llm.common import broadcast_if_small, free_name, spread_join, stage, stage_measured
@@ -80,8 +79,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows to drop are known by id, length and text hash, and few of them are
     broadcast, so that the texts stay where they are. A row's whole text is hashed
-    only if its id and length are those of a row to drop. A row that repeats a
-    kept one in id and text is told apart by a window over just those.
+    only if its id and length are those of a row to drop. Rows that
+    repeat a kept one in id and text are cut to one by each task before a shuffle.
     """
     prefixed, prefixes = candidates(docs, id_col, text_col)
     groups = stage(exact_groups(prefixed, prefixes).filter("NOT kept"), "exact-lost")
@@ -102,8 +101,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return left.select(*[F.col(f"`{c}`") for c in docs.columns])
     # Of rows that repeat both id and text, any one stays.
     repeated = meets(left, f"`{hit}`", "left_semi")
-    once = repeated.withColumn(own_rank, F.row_number().over(W.partitionBy(id_col, own_sha).orderBy(own_sha))).filter(F.col(own_rank) == 1).drop(own_rank)
-    return meets(left, f"`{hit}`", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = repeated.groupBy(id_col, own_sha).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(own_rank)).select(f"{own_rank}.*")
+    return meets(left, f"`{hit}`", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(once)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
