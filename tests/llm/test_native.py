@@ -208,3 +208,12 @@ def test_spread_join(spark):
     for how in ("inner", "left"):
         got = common.spread_join(big, right, ["k"], "n", 4000, ["id"], how)
         assert sorted((r.id, r.n) for r in got.collect()) == sorted((r.id, r.n) for r in big.join(right, "k", how).collect())
+
+
+def test_drop_copies_of_rows_that_repeat_ids(spark):
+    rows = [(1, "a", {"k": 1}, "x")] * 5 + [(2, "a", {"k": 2}, "y")] * 4 + [(None, "b", None, "z")] * 3 + [(3, None, None, None)] * 2 + [(4, "", {"k": 1}, "q"), (5, "c", None, "w"), (5, "c", {"k": 3}, "w")]
+    left = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id bigint, text string, m map<string,int>, `a.b` string"))
+    assert left.columns == ["doc_id", "text", "m", "a.b"]
+    got = sorted([tuple(r) for r in left.collect()], key=lambda r: r[0] or 0)
+    assert got[:3] == [(None, "b", None, "z"), (2, "a", {"k": 2}, "y"), (4, "", {"k": 1}, "q")]
+    assert len(got) == 4 and got[3] in [(5, "c", None, "w"), (5, "c", {"k": 3}, "w")]
