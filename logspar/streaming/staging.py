@@ -48,24 +48,46 @@ def ingest_lines(spark: SparkSession, lines: Iterable[str], target: str, log: st
     Each batch is logged, stored as typed rows in a folder of its own, and
     truncated from the log. What an earlier run left in the log is stored first.
     """
-    done = [int(f[9:]) for f in files.folders(spark, target) if f.startswith("batch_id=")]
-    next_id = max([-1, *done, *wal.pending(spark, log)]) + 1
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        typed(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        wal.truncate(spark, log, batch_id)
-
-    for left in wal.pending(spark, log):
-        store(wal.recover(spark, log).filter(F.col("batch") == left).select("value"), left)
+    next_id = _resume(spark, target, log)
     total, source = 0, iter(lines)
     while batch := list(islice(source, batch_lines)):
         held = ndjson.staged_batch(spark, [x.rstrip("\n") for x in batch])
         wal.append(held, log, next_id)
-        store(held, next_id)
+        _store(held, target, log, next_id)
         total, next_id = total + len(batch), next_id + 1
     return total
 
 
+def ingest_numbered(spark: SparkSession, lines: DataFrame, target: str, log: str, batch_lines: int) -> int:
+    """The same for ``row_id, value``, lines of a table numbered from 0: tasks log
+    and store them, and none passes through the driver."""
+    next_id, staged = _resume(spark, target, log), files.scratch(spark, "numbered")
+    part = T.whole_quotient(F.col("row_id"), batch_lines)
+    lines.select("value", part.alias("part")).write.partitionBy("part").parquet(staged)
+    total = 0
+    for k in sorted(int(f[5:]) for f in files.folders(spark, staged) if f.startswith("part=")):
+        held = spark.read.schema("value string").parquet(f"{staged}/part={k}")
+        wal.append(held, log, next_id)
+        _store(held, target, log, next_id)
+        total, next_id = total + held.count(), next_id + 1
+    files.delete(spark, staged)
+    return total
+
+
+def _store(batch: DataFrame, target: str, log: str, batch_id: int) -> None:
+    typed(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    wal.truncate(batch.sparkSession, log, batch_id)
+
+
+def _resume(spark: SparkSession, target: str, log: str) -> int:
+    """Store what an earlier run left in the log; the number of the next batch."""
+    done = [int(f[9:]) for f in files.folders(spark, target) if f.startswith("batch_id=")]
+    pending = wal.pending(spark, log)
+    for left in pending:
+        _store(wal.recover(spark, log).filter(F.col("batch") == left).select("value"), target, log, left)
+    return max([-1, *done, *pending]) + 1
+
+
 def ingest_parquet(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """The same for typed rows that are Parquet already."""
     schema = spark.read.parquet(source).schema
