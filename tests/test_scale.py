@@ -31,6 +31,26 @@ def most_read(spark, run):
     return max((n for task, n in tasks() if task not in before), default=0)
 
 
+def test_log_file_is_no_single_tasks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(file_queries, "_MADE", {})
+    paths = []
+    largest = most_read(spark, lambda: paths.append(file_queries.log_file(spark, sf_dir)))
+    want = [r.value for r in file_queries._lines(spark, sf_dir).orderBy("event_id").collect()]
+    assert open(files.mounted(paths[0]), newline="").read() == "".join(x + "\n" for x in want)
+    assert largest < len(want) / 2
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_parts_make_one_file(spark, tmp_path, monkeypatch, mounted):
+    if not mounted:
+        monkeypatch.setattr(files, "mounted", lambda path: (_ for _ in ()).throw(ValueError(path)))
+    for n in (0, 1, 500):
+        rows = spark.range(n, numPartitions=3).select((-F.col("id")).alias("k"), F.concat(F.lit("é"), F.col("id").cast("string"), F.lit("\r")).alias("value"))
+        ndjson.write_file(rows, "k", f"file://{tmp_path}/{n}")
+        assert (tmp_path / str(n)).read_bytes().decode() == "".join(f"é{i}\r\n" for i in reversed(range(n)))
+        assert not (tmp_path / f"{n}-parts").exists()
+
+
 def test_lines_of_a_table_stay_off_the_driver(spark, sf_dir, monkeypatch):
     def held(*_):
         raise AssertionError("lines at the driver")
