@@ -51,6 +51,18 @@ def test_parts_make_one_file(spark, tmp_path, monkeypatch, mounted):
         assert not (tmp_path / f"{n}-parts").exists()
 
 
+def test_lines_of_one_split_are_numbered_by_many_tasks(spark, tmp_path, monkeypatch):
+    lines = [("bad" if i % 9 == 4 else " " * (i % 3) + '{"i":%d}' % i) + "\r" * (i % 2) for i in range(20_000)]
+    (tmp_path / "log").write_text("".join(x + "\n" for x in lines), newline="")
+    monkeypatch.setattr(ndjson, "CHUNK_LINES", 1000, raising=False)
+    rows = []
+    assert spark.read.text(str(tmp_path / "log")).rdd.getNumPartitions() == 1
+    assert most_read(spark, lambda: rows.extend(ndjson.numbered_lines(spark, str(tmp_path / "log"), documents=True).collect())) < 12_000
+    data, whole = (tmp_path / "log").read_bytes(), [x for x in lines if x != "bad" and x != "bad\r"]
+    assert [r.value for r in sorted(rows, key=lambda r: r.row_id)] == whole and sorted(r.row_id for r in rows) == list(range(len(whole)))
+    assert all(data[r.byte_offset :].startswith(r.value.lstrip(" ").encode()) for r in rows)
+
+
 def test_lines_of_a_table_stay_off_the_driver(spark, sf_dir, monkeypatch):
     def held(*_):
         raise AssertionError("lines at the driver")
