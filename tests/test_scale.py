@@ -63,6 +63,16 @@ def test_lines_of_one_split_are_numbered_by_many_tasks(spark, tmp_path, monkeypa
     assert all(data[r.byte_offset :].startswith(r.value.lstrip(" ").encode()) for r in rows)
 
 
+def test_offsets_of_matches_need_no_join(spark, sf_dir):
+    found = file_queries.agb_reconstruct(spark, sf_dir)
+    assert found.count() and found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 1
+    path, stats = file_queries.block_file(spark, sf_dir)
+    both = agb.read_blocks(spark, path, stats["records"], index=True).select("block", F.posexplode("offsets").alias("lane", "byte_offset"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, agb.read_index(spark, path + ".idx").collect()))
+    plan = agb.reconstruct(spark, file_queries.log_file(spark, sf_dir), path, stats["records"], agb.match_mask(69, 20))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((block" not in plan
+
+
 def test_lines_of_a_table_stay_off_the_driver(spark, sf_dir, monkeypatch):
     def held(*_):
         raise AssertionError("lines at the driver")
