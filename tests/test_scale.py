@@ -73,6 +73,10 @@ def test_offsets_of_matches_need_no_join(spark, sf_dir):
     assert "Join Inner, ((block" not in plan
 
 
+def test_round_trip_moves_no_row(spark, sf_dir):
+    assert "Exchange" not in file_queries.agb_roundtrip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_a_table_stay_off_the_driver(spark, sf_dir, monkeypatch):
     def held(*_):
         raise AssertionError("lines at the driver")
